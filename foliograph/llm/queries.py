@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import same_looks
+from . import encode, mixture, pieces, same_looks
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,8 +22,29 @@ def p1_one_form(spark: SparkSession, folder: str) -> DataFrame:
     return same_looks.with_one_form(_texts(spark, folder))
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.encoded(table(spark, folder, "documents"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mix(mixture.sized(table(spark, folder, "documents")), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    sizes, targets = mixture.sized(table(spark, folder, "documents")), table(spark, folder, "mix_targets")
+    return mixture.shares(sizes, targets, mixture.mix(sizes, targets))
+
+
+def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.split_all(table(spark, folder, "documents"), table(spark, folder, "split_limits"))
+
+
+def p9_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.summary(p9_pieces(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_one_form)}
+    return {f.__name__: f for f in (p1_found, p1_one_form, p7_ids, p8_mix, p8_shares, p9_pieces, p9_summary)}
 
 
 def oracle_sql() -> dict[str, str]:

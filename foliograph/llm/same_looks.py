@@ -1,8 +1,9 @@
 """Problem 1: texts that look the same, in one form.
 
-Stable texts never leave the JVM: a character class built from Unicode's
-quick-check and decomposition properties (``forms.JAVA_UNSTABLE``) tells them
-from the few that hold an unstable character. Only those go to Python, where
+Stable texts never leave the JVM: a quick check against the spans of stable
+characters (``forms.JAVA_NOT_SURELY_STABLE``), which follow from Unicode's
+quick-check and decomposition properties, tells them from the few that may
+hold an unstable character. Only those go to Python, where
 the unstable segments are normalized with their boundary context and spliced
 into the otherwise unchanged text. No row is shuffled.
 
@@ -33,8 +34,8 @@ def _differs(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def unstable(text: Column) -> Column:
-    """Whether a text holds a character that may have another usual spelling."""
-    return text.rlike(forms.JAVA_UNSTABLE)
+    """Whether a text may hold a character that has another usual spelling."""
+    return text.rlike(forms.JAVA_NOT_SURELY_STABLE)
 
 
 def one_form(text: Column) -> Column:
