@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import encode, mixture, pieces, same_looks
+from . import encode, mixture, pieces, same_looks, spellings, titles
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +22,23 @@ def p1_one_form(spark: SparkSession, folder: str) -> DataFrame:
     return same_looks.with_one_form(_texts(spark, folder))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spellings.found(table(spark, folder, "semantic_blocks"), table(spark, folder, "relationships"))
+
+
+def p4_organisations(spark: SparkSession, folder: str) -> DataFrame:
+    """Each name with the key of its organisation and how often it was typed."""
+    return spellings.organisations(spellings.spelled_names(table(spark, folder, "semantic_blocks"), table(spark, folder, "relationships")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return titles.found(table(spark, folder, "semantic_blocks"), table(spark, folder, "job_titles"))
+
+
+def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    return titles.unmatched(table(spark, folder, "semantic_blocks"), table(spark, folder, "job_titles"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encoded(table(spark, folder, "documents"))
 
@@ -44,7 +61,7 @@ def p9_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_one_form, p7_ids, p8_mix, p8_shares, p9_pieces, p9_summary)}
+    return {f.__name__: f for f in (p1_found, p1_one_form, p4_found, p4_organisations, p5_found, p5_unmatched, p7_ids, p8_mix, p8_shares, p9_pieces, p9_summary)}
 
 
 def oracle_sql() -> dict[str, str]:
