@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import encode, mixture, pieces, same_looks, spellings, titles
+from . import encode, mixture, pieces, private, same_looks, spellings, titles
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,6 +39,23 @@ def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return titles.unmatched(table(spark, folder, "semantic_blocks"), table(spark, folder, "job_titles"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    raw, blocks = table(spark, folder, "raw_text"), table(spark, folder, "semantic_blocks")
+    return private.found(_texts(spark, folder), private.learned_names(raw, blocks))
+
+
+def p6_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with a typed placeholder for each piece of personal information."""
+    raw, blocks = table(spark, folder, "raw_text"), table(spark, folder, "semantic_blocks")
+    return private.replaced(_texts(spark, folder), private.learned_names(raw, blocks))
+
+
+def p6_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """The surrogate of every distinct piece of personal information; no two of one kind are equal."""
+    raw, blocks = table(spark, folder, "raw_text"), table(spark, folder, "semantic_blocks")
+    return private.surrogates(private.mentions(_texts(spark, folder), private.learned_names(raw, blocks)))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encoded(table(spark, folder, "documents"))
 
@@ -61,7 +78,7 @@ def p9_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_one_form, p4_found, p4_organisations, p5_found, p5_unmatched, p7_ids, p8_mix, p8_shares, p9_pieces, p9_summary)}
+    return {f.__name__: f for f in (p1_found, p1_one_form, p4_found, p4_organisations, p5_found, p5_unmatched, p6_found, p6_text, p6_surrogates, p7_ids, p8_mix, p8_shares, p9_pieces, p9_summary)}
 
 
 def oracle_sql() -> dict[str, str]:
