@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import encode, mixture, pieces, private, same_looks, spellings, titles
+from . import encode, mixture, pieces, private, same_looks, scans, spellings, titles
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +22,19 @@ def p1_one_form(spark: SparkSession, folder: str) -> DataFrame:
     return same_looks.with_one_form(_texts(spark, folder))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.found(table(spark, folder, "semantic_blocks"))
+
+
+def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.Scans(table(spark, folder, "semantic_blocks")).paragraphs()
+
+
+def p3_raw_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of the raw texts of scanned uploads, without margins."""
+    return scans.raw_repaired(table(spark, folder, "raw_text"), table(spark, folder, "semantic_blocks"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return spellings.found(table(spark, folder, "semantic_blocks"), table(spark, folder, "relationships"))
 
@@ -78,7 +91,7 @@ def p9_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_one_form, p4_found, p4_organisations, p5_found, p5_unmatched, p6_found, p6_text, p6_surrogates, p7_ids, p8_mix, p8_shares, p9_pieces, p9_summary)}
+    return {f.__name__: f for f in (p1_found, p1_one_form, p3_found, p3_paragraphs, p3_raw_lines, p4_found, p4_organisations, p5_found, p5_unmatched, p6_found, p6_text, p6_surrogates, p7_ids, p8_mix, p8_shares, p9_pieces, p9_summary)}
 
 
 def oracle_sql() -> dict[str, str]:

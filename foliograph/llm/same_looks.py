@@ -17,17 +17,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import forms
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unify(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield part.map(forms.canonical, na_action="ignore") if part.notna().any() else part
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _differs(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield part.map(lambda t: bool(forms.segments(t)), na_action="ignore").astype("boolean")
