@@ -1,8 +1,9 @@
-"""Cutting lineage in a way that survives the loss of executors."""
+"""Cutting lineage in a way that survives the loss of executors: by a table written to the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,12 +14,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
         named = tempfile.mkdtemp(prefix="foliograph-checkpoint-")
-    if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The same rows, read from the shared checkpoint folder; never a local checkpoint."""
-    checkpoint_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """The same rows, read back from a compressed table in the shared folder, so that only needed columns are read.
+
+    The tables lie under ``foliograph-...`` in that folder, which is emptied with it; nothing is kept on one machine.
+    """
+    path = f"{checkpoint_folder(frame.sparkSession).rstrip('/')}/foliograph-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
