@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_periods, queries_text
+from . import queries_graph, queries_periods, queries_text
 
-MODULES = (queries_periods, queries_text)
+MODULES = (queries_periods, queries_text, queries_graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
