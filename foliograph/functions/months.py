@@ -136,4 +136,4 @@ def month_of(moment: Column) -> Column:
 
 def as_text(number: Column) -> Column:
     """A month number as 'YYYY-MM'."""
-    return F.when(number.isNotNull(), F.format_string("%04d-%02d", F.floor(number / 12).try_cast("int"), (F.pmod(number, F.lit(12)) + 1).try_cast("int"))
+    return F.when(number.isNotNull(), F.format_string("%04d-%02d", F.floor(number / 12).try_cast("int"), (F.pmod(number, F.lit(12)) + 1).try_cast("int")))
