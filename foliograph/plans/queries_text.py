@@ -397,7 +397,7 @@ hits as (select upload_id, sentence_index, unnest(list_filter([{_HITS}], lambda
 gaz as (select upload_id, sentence_index, h.text as text, h.type as type, 0.9 as confidence from hits
   union all select upload_id, sentence_index, 'AI', 'SKILL', 0.9 from sentences where regexp_matches(lower(sentence), '\bai\b') and regexp_extract(lower(sentence), '^.*?\bai\b(\s*/\s*ml\b)?', 1) = ''),
 pat as (select upload_id, sentence_index, {_NORM} as text, type, confidence from (
-    select upload_id, sentence_index, unnest(regexp_extract_all(sentence, '{_q(mentions.DEGREE)}')) as x, 'DEGREE' as type, 0.88 as confidence from sentences
+    select upload_id, sentence_index, unnest(regexp_extract_all(sentence, '{_q(mentions.DEGREE)}', 1)) as x, 'DEGREE' as type, 0.88 as confidence from sentences
     union all select upload_id, sentence_index, unnest(regexp_extract_all(sentence, '{_q(mentions.INSTITUTION)}')), 'UNIVERSITY', 0.88 from sentences
     union all select upload_id, sentence_index, unnest(list_transform(regexp_extract_all(sentence, '{_q(mentions.EMPLOYER)}', 1), lambda e: regexp_replace(e, '[.,]+$', ''))), 'COMPANY', 0.9 from sentences
     union all select upload_id, sentence_index, unnest(regexp_extract_all(sentence, '{_q(mentions.PROJECT)}', 1)), 'PROJECT', 0.65 from sentences)),
