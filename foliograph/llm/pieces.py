@@ -56,6 +56,8 @@ def _cuts(n: int, limit: int, overlap: int, k: int, strength: np.ndarray, whole:
     """Ends of k pieces as token numbers, or None if there are no such. whole: tokens that begin a character."""
     ends: list[int] = []
     start, share = 0, (n - overlap) / k
+    # the more pieces, the shorter each may be: so that one more piece does help where a piece by itself is over the limit
+    limit = min(limit, int(share) + overlap + 1 + max(1, int(REACH * share)))
     for i in range(1, k):
         lo = max(start + overlap + 1, n - (k - i) * (limit - overlap))
         hi = min(start + limit, n - 1)
