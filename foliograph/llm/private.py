@@ -33,6 +33,8 @@ SAMPLE_LINES = 20_000
 COMMON = 8
 #: Rounds of making colliding surrogates anew.
 ROUNDS = 4
+#: Every text with personal information matches: a capital, a digit, '@', a sign outside of ASCII, or an 'at' in brackets.
+ROUGH = r"[\p{Lu}\d@]|[^\x00-\x7f]|[(\[{][\x00-\x20\x7f]*at[\x00-\x20\x7f]*[)\]}]"
 _PIECES = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())]))
 
 
@@ -76,14 +78,14 @@ def _pieces_of(model: personal.FamilyNames):
 
 def mentions(texts: DataFrame, model: personal.FamilyNames) -> DataFrame:
     """src, id, kind, start, end, value of each piece of personal information; value is in its one form."""
-    # no letter or digit that matters begins without one of these, so such texts never leave the JVM
-    rough = texts.where(F.col("text").rlike("[\\p{Lu}\\d@]|[^\\x00-\\x7f]"))
+    # other texts never leave the JVM
+    rough = texts.where(F.col("text").rlike(ROUGH))
     return rough.select("src", "id", F.explode(_pieces_of(model)("text")).alias("p")).select("src", "id", "p.kind", "p.start", "p.end", "p.value")
 
 
 def found(texts: DataFrame, model: personal.FamilyNames) -> DataFrame:
     """src, id, kind of each kind of personal information in a text."""
-    rough = texts.where(F.col("text").rlike("[\\p{Lu}\\d@]|[^\\x00-\\x7f]"))
+    rough = texts.where(F.col("text").rlike(ROUGH))
     kinds = F.array_distinct(F.transform(_pieces_of(model)("text"), lambda p: p["kind"]))
     return rough.select("src", "id", F.explode(kinds).alias("kind")).distinct()
 

@@ -171,6 +171,14 @@ def test_surrogates_are_distinct_and_consistent(spark):
     assert family in out[5]  # the same family name has the same surrogate in either order
 
 
+def test_lower_case_emails_with_at_in_brackets(spark):
+    lines = ["nmavwitz [at] postbox [dot] test", "dora.zansley+jobs (at) web.example.org", "x{at}mail.example", "meet me (at home)"]
+    frame = spark.createDataFrame([("t", i, t) for i, t in enumerate(lines)], "src string, id bigint, text string")
+    assert {(r.id, r.kind) for r in private.found(frame, MODEL).collect()} == {(0, "email"), (1, "email"), (2, "email")}
+    out = {r.id: r.text for r in private.replaced(frame, MODEL).collect()}
+    assert all(out[i].startswith("[EMAIL ") for i in range(3)) and out[3] == lines[3]
+
+
 # ---- problems 7 to 9 ----
 TEXTS = [None, "", " ", "a", "word " * 400, "x" * 3000, "naïve 😀🚴‍♂️ café\n\n  " * 90, "don't we'll\t\t  \r\n" * 120, "<|endoftext|> 12345 " * 60, "　​" * 500, "日本語のテキスト" * 150]
 
