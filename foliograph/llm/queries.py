@@ -31,7 +31,7 @@ def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_raw_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines of the raw texts of scanned uploads, without margins."""
+    """The raw texts of scanned uploads as repaired paragraphs, without margins."""
     return scans.raw_repaired(table(spark, folder, "raw_text"), table(spark, folder, "semantic_blocks"))
 
 

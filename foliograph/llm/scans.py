@@ -274,12 +274,17 @@ class Scans:
 
     def paragraphs(self) -> DataFrame:
         """upload_id, paragraph (from 0), text: the bodies of scanned uploads, repaired."""
+        return self._joined(self.scanned.join(self.body.select("block_id"), "block_id", "left_semi"))
+
+    def _joined(self, kept: DataFrame) -> DataFrame:
+        """upload_id, paragraph, text of the lines that stay: upload_id, place, text, and block_id and block_type of the block with that text."""
         # block by block: its corrections as a map, applied to its words; a block has few
         fixes = self.misread().groupBy("block_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "right")))).alias("fixes"))
-        ends = self.cut_words.select("block_id", F.lit(True).alias("goes_on"))
+        ends = self.cut_words.select("block_id", F.lit(True).alias("goes_on"), "next_id")
         line = Window.partitionBy("upload_id").orderBy("place", "block_id")
-        kept = self.scanned.join(self.body.select("block_id"), "block_id", "left_semi")
         rows = kept.join(fixes, "block_id", "left").join(ends, "block_id", "left")
+        # a word goes on only in the line that it was found to go on in
+        rows = rows.withColumn("goes_on", F.col("goes_on") & (F.lead("block_id").over(line) == F.col("next_id")))
 
         @F.pandas_udf("string")
         def repair(text: pd.Series, fixes: pd.Series) -> pd.Series:
@@ -313,12 +318,17 @@ def raw_repaired(raw_text: DataFrame, blocks: DataFrame) -> DataFrame:
     """upload_id, paragraph, text of the raw texts of scanned uploads: lines that are margins of the upload's pages left out, the rest as ``paragraphs``.
 
     A raw text of a scanned upload holds the lines of its blocks; its lines take the decisions on the block with the same text and rank.
+    A line without such a block stays as it is, as a paragraph of its own.
     """
     scans = Scans(blocks)
-    lines = raw_text.where("raw_text is not null").join(scans.scanned.select("upload_id").distinct(), "upload_id", "left_semi")
-    rows = lines.select("upload_id", F.posexplode(F.split(same_looks.one_form(F.col("raw_text")), r"\r\n?|[\n\f]+")).alias("place", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    nth = lambda text: F.row_number().over(Window.partitionBy("upload_id", text).orderBy("place"))
-    margin = scans.scanned.join(scans.margins, "block_id", "left_semi").withColumn("line", F.trim("text"))
-    margin = margin.withColumn("nth", nth("line")).select("upload_id", "line", "nth")
-    kept = rows.withColumn("nth", nth("line")).join(margin, ["upload_id", "line", "nth"], "left_anti")
-    return kept.select("upload_id", "place", "line")
+    texts = raw_text.where("raw_text is not null").join(scans.scanned.select("upload_id").distinct(), "upload_id", "left_semi")
+    lines = texts.select("upload_id", F.posexplode(F.split(same_looks.one_form(F.col("raw_text")), r"\r\n?|[\n\f]+")).alias("place", "text")).where("trim(text) <> ''")
+
+    def ranked(frame: DataFrame, *by: str) -> DataFrame:
+        same = frame.withColumn("same", F.xxhash64(F.regexp_replace("text", r"^\s+|\s+$", "")))
+        return same.withColumn("nth", F.row_number().over(Window.partitionBy("upload_id", "same").orderBy(*by)))
+
+    of_blocks = ranked(scans.scanned, "place", "block_id").select("upload_id", "same", "nth", "block_id", "block_type")
+    kept = of_blocks.join(scans.body.select("block_id", F.lit(True).alias("body")), "block_id", "left")
+    rows = ranked(lines, "place").join(kept, ["upload_id", "same", "nth"], "left").where("block_id is null or body")
+    return scans._joined(rows.select("upload_id", "place", "text", "block_id", "block_type"))

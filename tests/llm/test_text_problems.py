@@ -78,6 +78,22 @@ def test_scanned_pages(spark):
     assert "department" in texts and "public information were modern" in texts and "Box" not in texts and "requirements" in texts
 
 
+def test_raw_texts_of_scans(spark):
+    rows = scan_rows()
+    raw = [(u, "\r\n".join(r[6] + " " for r in rows if r[1] == u)) for u in range(1, 9)] + [(900, rows[0][6]), (77, None)]
+    raw[7] = (8, "A line of no block\n\n" + raw[7][1].replace("\r\n", "\f"))
+    texts = spark.createDataFrame(raw, "upload_id bigint, raw_text string")
+    frame = spark.createDataFrame(rows, BLOCK)
+    out = scans.raw_repaired(texts, frame)
+    assert out.columns == ["upload_id", "paragraph", "text"]
+    out = {(r.upload_id, r.paragraph): r.text for r in out.collect()}
+    of_blocks = {(r.upload_id, r.paragraph): r.text for r in scans.Scans(frame).paragraphs().collect()}
+    assert {k: t for k, t in out.items() if k[0] < 8} == {k: t for k, t in of_blocks.items() if k[0] < 8}
+    assert [t for k, t in sorted(out.items()) if k[0] == 8] == ["A line of no block"] + [t for k, t in sorted(of_blocks.items()) if k[0] == 8]
+    whole = " ".join(t for k, t in sorted(out.items()) if k[0] == 1)
+    assert "department and the public information were modern" in whole and "requirements" in whole and "Box" not in whole and "Page" not in whole
+
+
 def test_scans_of_nothing(spark):
     frame = spark.createDataFrame([(1, 1, "d0", 0, 0, None, None, None, None, "ocr"), (2, 1, "d1", 1, 1, 1, "", None, None, "ocr")], BLOCK)
     assert scans.found(frame).count() == 0
