@@ -7,6 +7,8 @@ shuffle, and the pair join is an equi-join that AQE may split when skewed.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,16 +117,35 @@ def k_means(vectors: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     return model.transform(features).select("vec_id", "cluster")
 
 
-def silhouette(vectors: DataFrame, label: str = "label") -> DataFrame:
-    """One row: the mean silhouette by Euclidean distance, to four places, computed exactly over the given rows.
+def silhouette(vectors: DataFrame, label: str = "label", block: int = 1_000) -> DataFrame:
+    """One row: the mean silhouette by Euclidean distance, to four places, computed exactly over all given rows that have a vector and a label.
 
-    It needs the distance of every row to every cluster, so it is meant for a stated sample or one document's points.
+    Every row meets every other: blocks of at most about ``block`` rows are paired, and a pair of blocks gives for each row the sum
+    of its distances to each label. The work grows with the square of the rows; what is held at once does not grow.
     """
-    a = vectors.select("vec_id", label, "embedding")
-    b = vectors.select(F.col("vec_id").alias("other"), F.col(label).alias("other_label"), F.col("embedding").alias("e"))
-    far = F.sqrt(F.greatest(F.lit(0.0), dot(F.col("embedding"), F.col("embedding")) + dot(F.col("e"), F.col("e")) - 2 * dot(F.col("embedding"), F.col("e"))))
-    means = a.join(b, F.col("vec_id") != F.col("other")).groupBy("vec_id", label, "other_label").agg(F.avg(far).alias("d"))
-    own = means.where(F.col(label) == F.col("other_label")).select("vec_id", F.col("d").alias("a"))
-    rest = means.where(F.col(label) != F.col("other_label")).groupBy("vec_id").agg(F.min("d").alias("b"))
-    s = rest.join(own, "vec_id", "left").select(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
-    return s.agg(F.round(F.avg("s"), 4).alias("silhouette"))
+    rows = vectors.where(F.col("embedding").isNotNull() & F.col(label).isNotNull()).select("vec_id", F.col(label).alias("label"), "embedding")
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    blocks = 1 + rows.count() // block
+    in_blocks = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block")
+    in_blocks = cut(in_blocks.agg(F.collect_list(F.struct("vec_id", "label", "embedding")).alias("p")).select(*[F.col(f"p.{c}").alias(c) for c in ("vec_id", "label", "embedding")]))
+    kind = rows.schema["label"].dataType.simpleString()
+
+    @F.pandas_udf(f"array<struct<vec_id:bigint,label:{kind},other:{kind},total:double>>")
+    def sums(ids: pd.Series, labels: pd.Series, a: pd.Series, other_ids: pd.Series, others: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for i, of, x, j, other, y in zip(ids, labels, a, other_ids, others, b):
+            x, y, other = np.array(list(x), dtype=float), np.array(list(y), dtype=float), np.asarray(other)
+            far = np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T))
+            far[np.asarray(i)[:, None] == np.asarray(j)[None, :]] = 0.0
+            out.append([(v, l, c, t) for c in sorted(set(other.tolist())) for v, l, t in zip(i, of, far[:, other == c].sum(1).tolist())])
+        return pd.Series(out, dtype=object)
+
+    right = in_blocks.select(*[F.col(c).alias(f"b_{c}") for c in ("vec_id", "label", "embedding")])
+    pairs = in_blocks.repartition(min(blocks, 64)).crossJoin(right)
+    met = pairs.select(F.explode(sums("vec_id", "label", "embedding", "b_vec_id", "b_label", "b_embedding")).alias("s")).select("s.*")
+    totals = met.groupBy("vec_id", "label", "other").agg(F.sum("total").alias("total")).join(sizes.withColumnRenamed("label", "other"), "other")
+    own = F.col("label") == F.col("other")
+    means = totals.groupBy("vec_id").agg(F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
+    # a row alone in its label counts 0, as do rows with no distance to anything
+    s = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return means.where("b is not null").agg(F.round(F.avg(s), 4).alias("silhouette"))

@@ -366,6 +366,12 @@ def v8_silhouette(s, d):
     return vectors.silhouette(table(s, d, "embeddings").where("vec_id % 20 = 0"))
 
 
+@query()
+def v8_silhouette_all(s, d):
+    """Of all vectors, by their labels."""
+    return vectors.silhouette(table(s, d, "embeddings"))
+
+
 @query("select vec_id, embedding[1:8] as preview from embeddings")
 def v10_previews(s, d):
     return table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("preview"))

@@ -127,6 +127,33 @@ def test_connected_parts_of_a_long_chain(spark):
     assert parts == {i: 0 if i <= 30 else 31 if i <= n else i for i in range(n + 2)}
 
 
+def test_silhouette_of_all_vectors(spark):
+    import numpy as np
+
+    from foliograph.plans import catalog
+
+    frame = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows = frame.select("vec_id", "label", "embedding").collect()
+    x, of = np.array([r.embedding for r in rows], dtype=float), np.array([r.label for r in rows])
+
+    def brute(x, of):
+        out = []
+        for k in range(len(x)):
+            far = np.sqrt(((x - x[k]) ** 2).sum(1))
+            same = (of == of[k]) & (np.arange(len(x)) != k)
+            a, b = far[same].mean() if same.any() else None, min(far[of == c].mean() for c in set(of.tolist()) - {of[k]})
+            out.append(0.0 if a is None else (b - a) / max(a, b))
+        return round(float(np.mean(out)), 4)
+
+    assert catalog.queries()["v8_silhouette_all"](spark, "/root/testdata/sf0.001").first()[0] == brute(x, of)
+    assert vectors.silhouette(frame, block=70).first()[0] == brute(x, of)
+    lone = np.where(np.arange(len(of)) == 3, 99, of)
+    assert vectors.silhouette(frame.withColumn("label", F.when(F.col("vec_id") == rows[3].vec_id, 99).otherwise(F.col("label")))).first()[0] == brute(x, lone)
+    gaps = spark.createDataFrame([(1, 0, [0.0, 0.0]), (2, 0, [0.0, 0.0]), (3, 1, [0.0, 0.0]), (4, None, [1.0, 0.0]), (5, 1, None)], "vec_id bigint, label int, embedding array<float>")
+    assert vectors.silhouette(gaps).first()[0] == 0.0
+    assert vectors.silhouette(gaps.limit(0)).first()[0] is None
+
+
 def test_scores(spark):
     schema = "doc bigint, section string, path string, value string, norm string, anchor string"
     p = spark.createDataFrame([(1, "s", "p", "a", "a", ""), (1, "s", "p", "a", "a", ""), (1, "s", "p", "b", "b", "x")], schema)
