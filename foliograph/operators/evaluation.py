@@ -53,6 +53,22 @@ def with_overall(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return scores(rolled.fillna("Overall", ["section"]))
 
 
+def by_document(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """doc, predicted_items, reference_items with counts, scores and state of every document that has leaves on either side.
+
+    A document without reference is no wrong one: its predicted leaves are counted, but nothing is scored.
+    """
+    key = ["doc", "section", "norm", "anchor"]
+    p = predicted.groupBy(*key).agg(F.count("*").alias("p"))
+    t = truth.groupBy(*key).agg(F.count("*").alias("t"))
+    both = p.join(t, key, "full").fillna(0, ["p", "t"])
+    counted = both.groupBy("doc").agg(
+        F.sum("p").alias("predicted_items"), F.sum("t").alias("reference_items"), F.sum(F.least("p", "t")).alias("true_positive"), F.sum(F.greatest(F.col("p") - F.col("t"), F.lit(0))).alias("false_positive"), F.sum(F.greatest(F.col("t") - F.col("p"), F.lit(0))).alias("false_negative")
+    )
+    counted = counted.withColumn("false_positive", F.when(F.col("reference_items") == 0, 0).otherwise(F.col("false_positive")))
+    return scores(counted)
+
+
 def missing(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """Leaves of the reference that the prediction lacks, with multiplicity: the k-th of equal ones is missing if fewer are predicted."""
     key = ["doc", "section", "norm", "anchor"]

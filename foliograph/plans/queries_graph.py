@@ -378,10 +378,13 @@ def v10_previews(s, d):
 
 
 # ---- evaluation: periods of records against the periods of the next upload of a document ----
-def _leaves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Predicted: what blocks say of employments; reference: what the canonical table says, of one upload each."""
+def _leaves(s: SparkSession, d: str, unsorted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Predicted: what blocks say of employments; reference: what the canonical table says, of one upload each.
+
+    The intake folder has no reference; its leaves come along only if ``unsorted``.
+    """
     e = lambda c: F.col(f"entities.{c}")
-    blocks = _blocks(s, d).where("doc_id <> 'cv-unsorted'")
+    blocks = _blocks(s, d) if unsorted else _blocks(s, d).where("doc_id <> 'cv-unsorted'")
     predicted = evaluation.leaves(blocks.where("entities.company is not null"), "upload_id", "experience", e("company"), company=e("company"), location=e("location"))
     truth = evaluation.leaves(table(s, d, "canonical_resume").where("company is not null"), "upload_id", "experience", F.col("company"), company=F.col("company"), location=F.col("location"))
     return predicted, truth
@@ -400,6 +403,18 @@ def q4_counts(s, d):
     return evaluation.counts(*_leaves(s, d), "doc")
 
 
+_ALL_LEAVES = _LEAVES.replace("doc_id <> 'cv-unsorted' and ", "")
+
+
+@query(
+    f"""with {_ALL_LEAVES}, c as (select doc, sum(p) as predicted_items, sum(t) as reference_items, sum(least(p, t)) as true_positive, case when sum(t) = 0 then 0 else sum(greatest(p - t, 0)) end as false_positive, sum(greatest(t - p, 0)) as false_negative from both_sides group by doc)
+    select *, round(true_positive / nullif(true_positive + false_positive, 0), 4) as precision, round(true_positive / nullif(true_positive + false_negative, 0), 4) as recall, round(2 * true_positive / nullif(2 * true_positive + false_positive + false_negative, 0), 4) as f1, case when reference_items = 0 then 'no_reference_items' else 'scored' end as state from c"""
+)
+def q5_scores_of_uploads(s, d):
+    """Of every upload, the intake folder's too; those without reference have their state and no scores."""
+    return evaluation.by_document(*_leaves(s, d, unsorted=True))
+
+
 @query(
     f"""with {_LEAVES}, c as (select 'experience' as section, {_COUNTED} from both_sides union all select 'Overall', {_COUNTED} from both_sides)
     select *, round(true_positive / nullif(true_positive + false_positive, 0), 4) as precision, round(true_positive / nullif(true_positive + false_negative, 0), 4) as recall, round(2 * true_positive / nullif(2 * true_positive + false_positive + false_negative, 0), 4) as f1, case when true_positive + false_negative = 0 then 'no_reference_items' else 'scored' end as state from c"""

@@ -166,6 +166,21 @@ def test_scores(spark):
     assert all(r.state == "no_reference_items" for r in empty)
 
 
+def test_uploads_without_reference_are_reported(spark):
+    from foliograph.plans import catalog
+
+    schema = "doc bigint, section string, path string, value string, norm string, anchor string"
+    p = spark.createDataFrame([(1, "s", "p", "a", "a", ""), (1, "s", "p", "b", "b", ""), (2, "s", "p", "a", "a", ""), (2, "s", "p", "a", "a", "")], schema)
+    t = spark.createDataFrame([(1, "s", "p", "a", "a", ""), (3, "s", "p", "c", "c", "")], schema)
+    rows = {r.doc: tuple(r)[1:] for r in evaluation.by_document(p, t).collect()}
+    assert rows == {1: (2, 1, 1, 1, 0, 0.5, 1.0, 0.6667, "scored"), 2: (2, 0, 0, 0, 0, None, None, None, "no_reference_items"), 3: (0, 1, 0, 0, 1, None, 0.0, 0.0, "scored")}
+    folder = "/root/testdata/sf0.001"
+    unsorted = spark.read.parquet(f"{folder}/semantic_blocks.parquet").where("doc_id = 'cv-unsorted' and entities.company is not null")
+    states = {r.doc: r.state for r in catalog.queries()["q5_scores_of_uploads"](spark, folder).collect()}
+    ids = {r.upload_id for r in unsorted.collect()}
+    assert ids and all(states[i] == "no_reference_items" for i in ids)
+
+
 @pytest.mark.parametrize("value", ["{", "[1]", "plain"])
 def test_only_json_objects_are_rendered(spark, value):
     from foliograph.sources.documents import json_rows
