@@ -12,6 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .vectors import connected
 
 KEY = "upload_id"
@@ -31,7 +32,12 @@ def edges_of_records(record: DataFrame, names: DataFrame) -> DataFrame:
 
     ``record`` is what ``records.canonical`` gives, ``names`` has upload_id and candidate_name. Edges without an endpoint's label are left out.
     """
-    person = record.join(names.groupBy(KEY).agg(F.max("candidate_name").alias("candidate_name")), KEY, "left").withColumn("person", F.coalesce(F.nullif(F.trim("candidate_name"), F.lit("")), F.lit("Resume subject")))
+    # cut, as every kind of edge reads the records again; rows that give no edge stay out
+    of_edges = record.select(
+        KEY, "profile_snapshot", "work_history", "education", "technical_skills", F.struct("personal_information.title", "personal_information.location").alias("personal_information"),
+        F.struct("personal_details.date_of_birth", "personal_details.nationality", "personal_details.languages").alias("personal_details"), "projects", "certifications", "awards", "achievements", "publications", "domain_experience",
+    )
+    person = cut(of_edges).join(names.groupBy(KEY).agg(F.max("candidate_name").alias("candidate_name")), KEY, "left").withColumn("person", F.coalesce(F.nullif(F.trim("candidate_name"), F.lit("")), F.lit("Resume subject")))
     jobs = person.select(KEY, "person", F.posexplode("work_history").alias("j", "job"))
     roles = jobs.select(KEY, "person", "j", F.col("job.company").alias("company"), F.posexplode("job.roles").alias("r", "role"))
     duties = roles.select(KEY, "j", "r", F.col("role.designation").alias("title"), F.posexplode("role.duties").alias("d", "duty"))
@@ -56,6 +62,18 @@ def edges_of_records(record: DataFrame, names: DataFrame) -> DataFrame:
         edge(schools, "DEGREE", F.col("entry.degree"), "COMPLETED_IN", "DATE", F.col("entry.year"), at("$.education[", F.col("e"), "]")),
         edge(skills, "PERSON", F.col("person"), "HAS_TECHNOLOGY_SKILL", "TECHNOLOGY", F.col("skill"), at("$.technical_skills.", F.col("category"), "[", F.col("s"), "]")),
     ]
+    for field, relationship, kind in (("personal_information.title", "HAS_PROFESSIONAL_TITLE", "JOB_TITLE"), ("personal_information.location", "LOCATED_IN", "LOCATION"), ("personal_details.date_of_birth", "HAS_DATE_OF_BIRTH", "DATE"), ("personal_details.nationality", "HAS_NATIONALITY", "NATIONALITY")):
+        parts.append(edge(person, "PERSON", F.col("person"), relationship, kind, F.col(field), F.lit(f"$.{field}")))
+    spoken = person.select(KEY, "person", F.posexplode("personal_details.languages").alias("i", "language"))
+    parts.append(edge(spoken, "PERSON", F.col("person"), "SPEAKS", "LANGUAGE", F.col("language"), at("$.personal_details.languages[", F.col("i"), "]")))
+    for key, relationship, kind in (
+        ("projects", "COMPLETED_PROJECT", "PROJECT"), ("certifications", "HAS_CERTIFICATION", "CERTIFICATION"), ("awards", "HAS_AWARD", "AWARD"), ("achievements", "HAS_ACHIEVEMENT", "ACHIEVEMENT"), ("publications", "AUTHORED_PUBLICATION", "PUBLICATION"),
+        ("domain_experience", "HAS_DOMAIN_EXPERIENCE", "DOMAIN"),
+    ):
+        items = person.select(KEY, "person", F.posexplode(key).alias("i", "item"))
+        parts.append(edge(items, "PERSON", F.col("person"), relationship, kind, F.col("item.name"), at(f"$.{key}[", F.col("i"), "]")))
+    tools = person.select(KEY, F.posexplode("projects").alias("i", "item")).select(KEY, "i", F.col("item.name").alias("project"), F.posexplode("item.technologies").alias("k", "tool"))
+    parts.append(edge(tools, "PROJECT", F.col("project"), "USED_TECHNOLOGY", "TECHNOLOGY", F.col("tool"), at("$.projects[", F.col("i"), "].technologies[", F.col("k"), "]")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

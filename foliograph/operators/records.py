@@ -20,6 +20,9 @@ CANONICAL_KEYS = {
     "header": "personal_information", "personal information": "personal_information", "personal details": "personal_details", "languages": "personal_details", "references": "source_sections",
 }
 
+#: Keys whose rows come as lists of items.
+LISTED = ("projects", "certifications", "awards", "achievements", "publications", "domain_experience")
+
 
 def _upto(*by: str):
     return Window.partitionBy(KEY).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -66,14 +69,20 @@ def employments(blocks: DataFrame) -> DataFrame:
     return job
 
 
+def _entries(blocks: DataFrame) -> DataFrame:
+    """Rows of education with entry (from 1); rows before the first degree have entry 0."""
+    from .context import DEGREE_CUE
+
+    rows = blocks.where("block_type = 'EDUCATION' and text is not null")
+    return rows.withColumn("entry", F.sum(F.col("text").rlike(DEGREE_CUE).cast("int")).over(_upto("reading_order", "block_id")))
+
+
 def education(blocks: DataFrame) -> DataFrame:
     """upload_id, entry (from 1), degree, institution, year, source_blocks: a row with a degree opens an entry."""
     from .context import DEGREE_CUE, INSTITUTION_CUE
 
-    rows = blocks.where("block_type = 'EDUCATION' and text is not null")
     cells = F.split("text", r"\s*[,|]\s*")
-    entry = F.sum(F.col("text").rlike(DEGREE_CUE).cast("int")).over(_upto("reading_order", "block_id"))
-    parts = rows.withColumn("entry", entry).withColumn("degree", F.get(F.filter(cells, lambda c: c.rlike(DEGREE_CUE) & ~c.rlike(INSTITUTION_CUE)), F.lit(0)))
+    parts = _entries(blocks).withColumn("degree", F.get(F.filter(cells, lambda c: c.rlike(DEGREE_CUE) & ~c.rlike(INSTITUTION_CUE)), F.lit(0)))
     parts = parts.withColumn("institution", F.get(F.filter(cells, lambda c: c.rlike(INSTITUTION_CUE)), F.lit(0))).withColumn("year", F.nullif(F.regexp_extract("text", r"\b((?:19|20)\d{2})\b", 1), F.lit("")))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("reading_order", "block_id"))).alias(c)
     return parts.where("entry > 0").groupBy(KEY, "entry").agg(first("degree"), first("institution"), first("year"), F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "row_id"))), lambda x: x["row_id"]).alias("source_blocks"))
@@ -111,17 +120,75 @@ def canonical_key(section: Column) -> Column:
     return F.coalesce(F.element_at(keys, F.lower(F.trim(section))), F.lit("source_sections"))
 
 
+def _real(blocks: DataFrame) -> DataFrame:
+    """Rows with text that are no artifact and no heading, with key: the canonical key of their section."""
+    kind = F.coalesce(F.col("block_type"), F.lit("UNKNOWN"))
+    return blocks.where(F.col("text").isNotNull() & (F.trim("text") != "") & ~kind.isin("PAGE_ARTIFACT", "SECTION_HEADING")).withColumn("key", canonical_key(F.col("section"))).withColumn("kind", kind)
+
+
+def personal(blocks: DataFrame) -> DataFrame:
+    """upload_id, personal_information (title, email, phone, location, lines) and personal_details (date_of_birth, nationality, languages, lines).
+
+    Fields are the first that a row gives; lines are all rows, so that nothing gets lost that is no field.
+    """
+    rows, t = _real(blocks).where(F.col("key").isin("personal_information", "personal_details")), F.col("text")
+    information = F.col("key") == "personal_information"
+    labelled = lambda names: F.nullif(F.trim(F.regexp_extract("text", rf"(?i)^\s*(?:{names})\s*:\s*(.+)", 1)), F.lit(""))
+    title = F.coalesce(labelled("title|position|job title"), F.when(information & text.role_title(t) & ~t.rlike(r"[@\d:]"), F.trim("text")))
+    fields = {
+        "title": title, "email": F.when(information, text.email(t)), "phone": F.when(information, text.phone(t)), "location": labelled("location|city|place of residence|wohnort|lugar de residencia|domicile"),
+        "date_of_birth": labelled("date of birth|dob|born|geburtsdatum|fecha de nacimiento|date de naissance"), "nationality": labelled("nationality|citizenship|staatsangehörigkeit|nacionalidad|nationalité"),
+    }
+    rows = rows.select(KEY, "key", "reading_order", "block_id", "text", *[c.alias(n) for n, c in fields.items()])
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("reading_order", "block_id"))).alias(c)
+    texts = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("key") == k, F.struct("reading_order", "block_id", "text")))), lambda x: x["text"])
+    one = rows.groupBy(KEY).agg(*[first(c) for c in fields], texts("personal_information").alias("lines"), texts("personal_details").alias("detail_lines"))
+    spoken = languages(blocks).groupBy(KEY).agg(F.sort_array(F.collect_list("language")).alias("languages"))
+    one = one.join(spoken, KEY, "full")
+    return one.select(KEY, F.struct("title", "email", "phone", "location", "lines").alias("personal_information"), F.struct("date_of_birth", "nationality", "languages", F.col("detail_lines").alias("lines")).alias("personal_details"))
+
+
+def listed(blocks: DataFrame) -> DataFrame:
+    """upload_id and for each key of LISTED its items (name, technologies): a marker opens an item, rows without go on with it; where none has a marker, each row is one.
+
+    Technologies are only those of a row that names them, as in 'Tools: a, b'.
+    """
+    rows = _real(blocks).where(F.col("key").isin(*LISTED))
+    upto = Window.partitionBy(KEY, "key").orderBy("reading_order", "block_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tools = F.nullif(F.regexp_extract("text", r"(?i)^\W*(?:technolog(?:y|ies)|tools|tech stack)\s*:\s*(.+)", 1), F.lit(""))
+    rows = rows.withColumn("tools", F.when(F.col("key") == "projects", tools)).withColumn("marked", F.coalesce("is_bullet", F.lit(False)) & F.col("tools").isNull())
+    rows = rows.withColumn("any", F.max("marked").over(upto)).withColumn("item", F.sum((F.col("tools").isNull() & (F.col("marked") | ~F.col("any"))).cast("int")).over(upto))
+    parts = rows.groupBy(KEY, "key", "item").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("tools").isNull(), F.struct("reading_order", "block_id", F.trim(text.without_marker(F.col("text"))).alias("t"))))), lambda x: x["t"]), " ").alias("name"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("tools").isNotNull(), F.struct("reading_order", "block_id", "tools")))), lambda x: F.split(x["tools"], r"\s*[,;|]\s*"))).alias("technologies"),
+    )
+    return parts.groupBy(KEY).agg(*[F.transform(F.sort_array(F.collect_list(F.when(F.col("key") == k, F.struct("item", "name", "technologies")))), lambda x: F.struct(x["name"].alias("name"), x["technologies"].alias("technologies"))).alias(k) for k in LISTED])
+
+
+def unplaced(blocks: DataFrame) -> DataFrame:
+    """The rows that no other part of the canonical record takes: those of sections without key, and those of no use within the others."""
+    rows = _real(blocks)
+    named = F.max(F.nullif(F.trim("entities.company"), F.lit(""))).over(Window.partitionBy(KEY, "job"))
+    of_jobs = F.col("block_type").isin("COMPANY", "COMPANY_ROLE", "ROLE", "DATE_RANGE", "LOCATION") | ((F.col("block_type") == "RESPONSIBILITY") & (F.col("role") > 0))
+    taken = numbered_rows(blocks).withColumn("named", named).where((F.col("job") > 0) & F.col("named").isNotNull() & of_jobs).select("block_id").unionByName(_entries(blocks).where("entry > 0").select("block_id"))
+    left = rows.where(~F.col("key").isin("source_sections", "personal_information", "personal_details", *LISTED) & ~F.col("kind").isin("PROFILE_SUMMARY", "SKILL")).drop("key", "kind").join(taken, "block_id", "left_anti")
+    return left.unionByName(blocks.where("text is not null").where(canonical_key(F.col("section")) == "source_sections"))
+
+
 def canonical(blocks: DataFrame) -> DataFrame:
-    """upload_id, schema_version, profile_snapshot, work_history, education, technical_skills, source_sections: one record for each upload."""
+    """One record for each upload: upload_id, schema_version, profile_snapshot, work_history, education, technical_skills, personal_information, personal_details, the keys of LISTED, source_sections.
+
+    Every row with text that is no artifact and no heading is in one of them.
+    """
     jobs = employments(blocks).where("company is not null").groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("job", "company", "location", "roles"))).alias("work_history"))
     schools = education(blocks).groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("entry", "degree", "institution", "year", "source_blocks"))).alias("education"))
     skills = technical_skills(blocks).groupBy(KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "items")))).alias("technical_skills"))
-    other = blocks.where("text is not null").where(canonical_key(F.col("section")) == "source_sections").groupBy(KEY, "section").agg(F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "block_id", "text"))), lambda x: x["text"]).alias("lines"))
+    other = unplaced(blocks).groupBy(KEY, F.coalesce("section", F.lit("")).alias("section")).agg(F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "block_id", "text"))), lambda x: x["text"]).alias("lines"))
     other = other.groupBy(KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "lines")))).alias("source_sections"))
     base = blocks.select(KEY).distinct()
-    for part in (profile(blocks).withColumnRenamed("profile", "profile_snapshot"), jobs, schools, skills, other):
+    for part in (profile(blocks).withColumnRenamed("profile", "profile_snapshot"), jobs, schools, skills, personal(blocks), listed(blocks), other):
         base = base.join(part, KEY, "left")
-    return base.select(KEY, F.lit("canonical-resume/v1").alias("schema_version"), "profile_snapshot", "work_history", "education", "technical_skills", "source_sections")
+    return base.select(KEY, F.lit("canonical-resume/v1").alias("schema_version"), "profile_snapshot", "work_history", "education", "technical_skills", "personal_information", "personal_details", *LISTED, "source_sections")
 
 
 def readable(record: DataFrame) -> DataFrame:

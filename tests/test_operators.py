@@ -99,6 +99,26 @@ def test_records_and_their_edges(spark):
     assert records.violations(orphan).first().rule == "row before any employer"
 
 
+def test_records_keep_every_row(spark):
+    rows = [
+        block(0, "Mira Tolvan", "CONTACT", "Header"), block(1, "mira.tolvan@mail.example", "CONTACT", "Header"), block(2, "Location: Norvik", "CONTACT", "Header"), block(3, "- too early", "RESPONSIBILITY", bullet=True),
+        block(4, "Borvan Ltd", "COMPANY", company="Borvan Ltd"), block(5, "of no known kind", "UNKNOWN"), block(6, "Norvik University", "EDUCATION", "Education"), block(7, "Date of birth: 3.4.1990", "PERSONAL_DETAIL", "Personal Details"),
+        block(8, "Languages: English, Deutsch", "PERSONAL_DETAIL", "Personal Details"), block(9, "- Crane planner", "UNKNOWN", "Projects", bullet=True), block(10, "with live maps", "UNKNOWN", "Projects"), block(11, "Tools: Kafka, Spark", "UNKNOWN", "Projects"),
+        block(12, "Welding licence", "UNKNOWN", "Certifications"), block(13, "First aid", "UNKNOWN", "Certifications"), block(14, "Rowing", None, "Hobbies"), block(15, "no section", None, None), block(16, "loose skill", None, "Skills"), block(17, "loose job", None),
+    ]
+    frame = spark.createDataFrame(rows, BLOCK)
+    record = records.canonical(frame).first()
+    assert record.personal_information.email == "mira.tolvan@mail.example" and record.personal_information.lines == [r[5] for r in rows[:3]]
+    assert [i.name for i in record.certifications] == ["Welding licence", "First aid"] and record.projects[0].technologies == ["Kafka", "Spark"]
+    assert record.source_sections == {"Experience": ["- too early", "of no known kind", "loose job"], "Education": ["Norvik University"], "Hobbies": ["Rowing"], "": ["no section"], "Skills": ["loose skill"]}
+    names = spark.createDataFrame([(1, "Mira")], "upload_id bigint, candidate_name string")
+    edges = {(r.source_label, r.relationship, r.target_label) for r in graph.edges_of_records(records.canonical(frame), names).collect()}
+    assert edges == {
+        ("Mira", "WORKED_AT", "Borvan Ltd"), ("Mira", "LOCATED_IN", "Norvik"), ("Mira", "HAS_DATE_OF_BIRTH", "3.4.1990"), ("Mira", "SPEAKS", "English"), ("Mira", "SPEAKS", "Deutsch"), ("Mira", "COMPLETED_PROJECT", "Crane planner with live maps"),
+        ("Crane planner with live maps", "USED_TECHNOLOGY", "Kafka"), ("Crane planner with live maps", "USED_TECHNOLOGY", "Spark"), ("Mira", "HAS_CERTIFICATION", "Welding licence"), ("Mira", "HAS_CERTIFICATION", "First aid"),
+    }
+
+
 def test_layout(spark):
     left, right = [50.0, 100.0, 200.0, 110.0], [300.0, 90.0, 500.0, 100.0]
     rows = [block(0, "right", "UNKNOWN", box=right), block(1, "left", "UNKNOWN", box=left), block(2, "left", "UNKNOWN", box=[x + 0.4 for x in left]), block(3, "7", "UNKNOWN", box=[50.0, 820.0, 60.0, 830.0]), block(4, "none", "UNKNOWN")]
