@@ -9,7 +9,8 @@ is the same whatever the partitioning.
 For replacing, each distinct piece gets a keyed surrogate of its kind, format,
 gender and script, so mentions of one person or number agree everywhere.
 Surrogates that collide are made anew with another salt, round by round, until
-all of a kind are distinct. Texts without personal information come out
+all of a kind are distinct. Of names not the whole but each part has its
+surrogate, so a family name keeps it whatever stands beside it. Texts without personal information come out
 unchanged; a null or empty text has none.
 """
 
@@ -31,8 +32,8 @@ SAMPLE = 5_000
 SAMPLE_LINES = 20_000
 #: A word in so many of the sampled lines is a common word and no family name, unless a candidate has it.
 COMMON = 8
-#: Rounds of making colliding surrogates anew.
-ROUNDS = 4
+#: After so many rounds of making colliding surrogates anew it is an error that some are left.
+ROUNDS = 50
 #: Every text with personal information matches: a capital, a digit, '@', a sign outside of ASCII, or an 'at' in brackets.
 ROUGH = r"[\p{Lu}\d@]|[^\x00-\x7f]|[(\[{][\x00-\x20\x7f]*at[\x00-\x20\x7f]*[)\]}]"
 _PIECES = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())]))
@@ -90,6 +91,19 @@ def found(texts: DataFrame, model: personal.FamilyNames) -> DataFrame:
     return rough.select("src", "id", F.explode(kinds).alias("kind")).distinct()
 
 
+def _apart(values: DataFrame, make, by: list[str], same: str) -> DataFrame:
+    """values with a column surrogate: made with a salt, and anew with another where values with another ``same`` have an equal one."""
+    values = cut(values.withColumn("salt", F.lit(0)).withColumn("surrogate", make(F.col("salt"))))
+    clash = Window.partitionBy(*by, F.lower("surrogate")).orderBy(same)
+    for _ in range(ROUNDS):
+        if values.groupBy(*by, F.lower("surrogate")).agg(F.count_distinct(same).alias("n")).where("n > 1").isEmpty():
+            return values.drop("salt")
+        ranked = values.withColumn("rank", F.dense_rank().over(clash))
+        again = ranked.withColumn("salt", F.when(F.col("rank") > 1, F.col("salt") + F.col("rank") - 1).otherwise(F.col("salt")))
+        values = cut(again.withColumn("surrogate", F.when(F.col("rank") > 1, make(F.col("salt"))).otherwise(F.col("surrogate"))).drop("rank"))
+    raise RuntimeError(f"after {ROUNDS} rounds there are still equal surrogates")
+
+
 def surrogates(mentioned: DataFrame, key: str = "change this key") -> DataFrame:
     """kind, value, surrogate of each distinct value; within a kind distinct values have distinct surrogates.
 
@@ -100,20 +114,31 @@ def surrogates(mentioned: DataFrame, key: str = "change this key") -> DataFrame:
     def make(kind: pd.Series, value: pd.Series, salt: pd.Series) -> pd.Series:
         return pd.Series([personal.surrogate(k, v, key.encode(), int(s)) for k, v, s in zip(kind, value, salt)], dtype=object)
 
+    @F.pandas_udf("string")
+    def coin(part: pd.Series, salt: pd.Series) -> pd.Series:
+        return pd.Series([personal.coined(p, key.encode(), int(s)) for p, s in zip(part, salt)], dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def parts_of(value: pd.Series) -> pd.Series:
+        return pd.Series([personal.coined_parts(v) for v in value], dtype=object)
+
+    @F.pandas_udf("string")
+    def put(value: pd.Series, parts: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([personal.name_surrogate(v, key.encode(), dict(zip(p, w))) for v, p, w in zip(value, parts, words)], dtype=object)
+
     @F.pandas_udf("string")
     def reference(kind: pd.Series, value: pd.Series) -> pd.Series:
         return pd.Series([personal.reference_form(k, v) for k, v in zip(kind, value)], dtype=object)
 
-    values = mentioned.groupBy("kind", "value").agg(F.lit(1).alias("one")).drop("one").withColumn("same", reference("kind", "value")).withColumn("salt", F.lit(0))
-    values = cut(values.withColumn("surrogate", make("kind", "value", "salt")))
-    clash = Window.partitionBy("kind", F.lower("surrogate")).orderBy("same")
-    for _ in range(ROUNDS):
-        ranked = values.withColumn("rank", F.dense_rank().over(clash))
-        again = ranked.withColumn("salt", F.when(F.col("rank") > 1, F.col("salt") + F.col("rank") - 1).otherwise(F.col("salt")))
-        values = cut(again.withColumn("surrogate", F.when(F.col("rank") > 1, make("kind", "value", "salt")).otherwise(F.col("surrogate"))).drop("rank"))
-        if values.groupBy("kind", F.lower("surrogate")).agg(F.count_distinct("same").alias("n")).where("n > 1").isEmpty():
-            break
-    return values.select("kind", "value", "surrogate")
+    values = cut(mentioned.select("kind", "value").distinct())
+    others = _apart(values.where("kind <> 'name'").withColumn("same", reference("kind", "value")), lambda salt: make("kind", "value", salt), ["kind"], "same")
+    # names by their parts: parts have distinct surrogates, so names have
+    names = values.where("kind = 'name'").withColumn("parts", parts_of("value"))
+    words = _apart(names.select(F.explode("parts").alias("part")).distinct(), lambda salt: coin("part", salt), [], "part")
+    pairs = names.select("value", F.explode_outer("parts").alias("part")).join(words, "part", "left")
+    of_name = pairs.groupBy("value").agg(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("part", "surrogate"))).alias("p"))
+    named = of_name.select(F.lit("name").alias("kind"), "value", put("value", F.col("p.part"), F.col("p.surrogate")).alias("surrogate"))
+    return others.select("kind", "value", "surrogate").unionByName(named)
 
 
 def replaced(texts: DataFrame, model: personal.FamilyNames, key: str = "change this key") -> DataFrame:

@@ -195,6 +195,26 @@ def test_lower_case_emails_with_at_in_brackets(spark):
     assert all(out[i].startswith("[EMAIL ") for i in range(3)) and out[3] == lines[3]
 
 
+def test_parts_of_names_keep_their_surrogates(spark):
+    given = sorted(names.GIVEN | set(names.NICKNAMES))
+    values = [g.title() for g in given] + [f"{c}. {f}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZÞ" for f in ("Tarnlund", "Veslund-Norsted")] + ["Tarnlund", "Norsted", "Beatriz Tarnlund", "VESLUND"]
+    made = {r.value: r.surrogate for r in private.surrogates(spark.createDataFrame([("name", v) for v in values], "kind string, value string")).collect()}
+    assert set(made) == set(values) and len({m.lower() for m in made.values()}) == len(values)
+    assert all(made[f"{c}. Tarnlund"].endswith(" " + made["Tarnlund"]) for c in "ABCXYZÞ")
+    assert made["B. Tarnlund"][0] == made["Beatriz Tarnlund"][0] == made["Beatriz"][0]
+    assert made["A. Veslund-Norsted"].split()[1] == f"{made['VESLUND'].capitalize()}-{made['Norsted']}"
+
+
+def test_equal_surrogates_that_stay_are_an_error(spark):
+    frame = spark.createDataFrame([("x",), ("y",)], "part string")
+    with pytest.raises(RuntimeError):
+        rounds, private.ROUNDS = private.ROUNDS, 2
+        try:
+            private._apart(frame, lambda salt: F.lit("same"), [], "part")
+        finally:
+            private.ROUNDS = rounds
+
+
 # ---- problems 7 to 9 ----
 TEXTS = [None, "", " ", "a", "word " * 400, "x" * 3000, "naïve 😀🚴‍♂️ café\n\n  " * 90, "don't we'll\t\t  \r\n" * 120, "<|endoftext|> 12345 " * 60, "　​" * 500, "日本語のテキスト" * 150]
 
