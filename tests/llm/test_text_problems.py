@@ -215,6 +215,18 @@ def test_equal_surrogates_that_stay_are_an_error(spark):
             private.ROUNDS = rounds
 
 
+@pytest.mark.parametrize("text, kind", [("c/ Mayor, 12", "address"), ("vive en C/ Mayor 12", "address"), ("SV-Nummer 12 345678 A 123", "id_number")])
+def test_quick_tests_match_what_their_patterns_do(text, kind):
+    assert kind in {f.kind for f in personal.entities(text, MODEL)}
+
+
+@pytest.mark.parametrize("cue", "passport pasaporte passeport passaporto reisepass personalausweis ausweisnr identity-card id-no dni nie nif ssn sv-nummer rentenversicherungsnummer steuer-id steuernummer steuer-nr pan aadhaar tin pesel bsn curp cpf personnummer aufenthaltstitel permis-de-conduire codice-fiscale".split())
+def test_id_hint(cue):
+    for form in (cue, cue.replace("-", " ")):
+        for line in (f"{form} 12345678", f"{form}12345678"):
+            assert personal._ID_HINT.search(line) or not personal._ID_AFTER.search(line)
+
+
 # ---- problems 7 to 9 ----
 TEXTS = [None, "", " ", "a", "word " * 400, "x" * 3000, "naïve 😀🚴‍♂️ café\n\n  " * 90, "don't we'll\t\t  \r\n" * 120, "<|endoftext|> 12345 " * 60, "　​" * 500, "日本語のテキスト" * 150]
 
