@@ -185,7 +185,7 @@ def _canonical(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
 
 def segments(text: str | None) -> list[tuple[int, int, str]]:
     """The places (start, end, usual spelling) where a text has another than the usual spelling."""
-    if not text or text.isascii() and not UNSTABLE.search(text):
+    if not text or text.isascii() and (text.isprintable() or not UNSTABLE.search(text)):
         return []
     out: list[tuple[int, int, str]] = []
     done = 0

@@ -36,6 +36,8 @@ COMMON = 8
 ROUNDS = 50
 #: Every text with personal information matches: a capital, a digit, '@', a sign outside of ASCII, or an 'at' in brackets.
 ROUGH = r"[\p{Lu}\d@]|[^\x00-\x7f]|[(\[{][\x00-\x20\x7f]*at[\x00-\x20\x7f]*[)\]}]"
+#: Personal information stands within one line.
+LINE_ENDS = r"[\n\r\f]"
 _PIECES = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())]))
 
 
@@ -72,23 +74,37 @@ def _pieces_of(model: personal.FamilyNames):
     @F.pandas_udf(_PIECES)
     def pieces(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([[tuple(f) for f in personal.entities(t, model)] if t else None for t in part], dtype=object)
+            yield pd.Series([[tuple(f) for f in found] if t and (found := personal.entities(t, model)) else None for t in part], dtype=object)
 
     return pieces
 
 
+def _lines(texts: DataFrame) -> DataFrame:
+    """src, id, nth, line, and k1, k2 (128 bits of hash of the line) of each line that may hold personal information."""
+    rough = texts.where("text is not null").select("src", "id", F.posexplode(F.split("text", LINE_ENDS)).alias("nth", "line"))
+    # other lines never leave the JVM
+    return rough.where(F.col("line").rlike(ROUGH)).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
+
+
+def _of_distinct_lines(lines: DataFrame, model: personal.FamilyNames) -> DataFrame:
+    """k1, k2, pieces of the distinct lines with personal information: what stands in many texts is searched once."""
+    pieces = lines.groupBy("k1", "k2").agg(F.first("line").alias("line")).select("k1", "k2", _pieces_of(model)("line").alias("pieces"))
+    return pieces.where(F.size("pieces") > 0)
+
+
 def mentions(texts: DataFrame, model: personal.FamilyNames) -> DataFrame:
-    """src, id, kind, start, end, value of each piece of personal information; value is in its one form."""
-    # other texts never leave the JVM
-    rough = texts.where(F.col("text").rlike(ROUGH))
-    return rough.select("src", "id", F.explode(_pieces_of(model)("text")).alias("p")).select("src", "id", "p.kind", "p.start", "p.end", "p.value")
+    """src, id, nth, kind, start, end, value of each piece of personal information: nth is its line, start and end count within it; value is in its one form."""
+    lines = _lines(texts)
+    there = lines.select("src", "id", "nth", "k1", "k2").join(_of_distinct_lines(lines, model), ["k1", "k2"])
+    return there.select("src", "id", "nth", F.explode("pieces").alias("p")).select("src", "id", "nth", "p.kind", "p.start", "p.end", "p.value")
 
 
 def found(texts: DataFrame, model: personal.FamilyNames) -> DataFrame:
     """src, id, kind of each kind of personal information in a text."""
-    rough = texts.where(F.col("text").rlike(ROUGH))
-    kinds = F.array_distinct(F.transform(_pieces_of(model)("text"), lambda p: p["kind"]))
-    return rough.select("src", "id", F.explode(kinds).alias("kind")).distinct()
+    lines = _lines(texts)
+    kinds = _of_distinct_lines(lines, model).select("k1", "k2", F.array_distinct(F.transform("pieces", lambda p: p["kind"])).alias("kinds"))
+    there = lines.select("src", "id", "k1", "k2").join(kinds, ["k1", "k2"])
+    return there.select("src", "id", F.explode("kinds").alias("kind")).distinct()
 
 
 def _apart(values: DataFrame, make, by: list[str], same: str) -> DataFrame:
@@ -141,15 +157,21 @@ def surrogates(mentioned: DataFrame, key: str = "change this key") -> DataFrame:
     return others.select("kind", "value", "surrogate").unionByName(named)
 
 
+def _spliced(text: str, pieces: list) -> str:
+    """The text with each piece, given by its line and its place in it, replaced by its placeholder."""
+    starts = [0, *(m.end() for m in re.finditer(LINE_ENDS, text))]
+    return forms.splice(text, [(starts[x["nth"]] + x["start"], starts[x["nth"]] + x["end"], f"[{x['kind'].upper()} {x['surrogate']}]") for x in pieces])
+
+
 def replaced(texts: DataFrame, model: personal.FamilyNames, key: str = "change this key") -> DataFrame:
     """src, id, text of every text, with ``[KIND surrogate]`` in the place of each piece of personal information."""
     mentioned = cut(mentions(texts, model))
     there = mentioned.join(surrogates(mentioned, key), ["kind", "value"])
-    of_text = there.groupBy("src", "id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("pieces"))
+    of_text = there.groupBy("src", "id").agg(F.sort_array(F.collect_list(F.struct("nth", "start", "end", "kind", "surrogate"))).alias("pieces"))
 
     @F.pandas_udf("string")
     def splice(text: pd.Series, pieces: pd.Series) -> pd.Series:
-        return pd.Series([t if p is None else forms.splice(t, [(x["start"], x["end"], f"[{x['kind'].upper()} {x['surrogate']}]") for x in p]) for t, p in zip(text, pieces)], dtype=object)
+        return pd.Series([t if p is None else _spliced(t, p) for t, p in zip(text, pieces)], dtype=object)
 
     whole = texts.join(of_text, ["src", "id"], "left")
     return whole.select("src", "id", F.when(F.col("pieces").isNull(), F.col("text")).otherwise(splice(F.when(F.col("pieces").isNotNull(), F.col("text")), "pieces")).alias("text"))
