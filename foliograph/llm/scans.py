@@ -21,6 +21,7 @@ which spill, and by joins of words.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,26 +32,39 @@ from ..plans.lineage import cut
 from . import same_looks
 
 # --- Fixed values: characters misread by scanners, and what they stand for. ---
-CONFUSIONS: list[tuple[str, str]] = [
-    ("c", "e"), ("f", "t"), ("1", "i"), ("ri", "n"), ("4", "a"), ("0", "o"), ("o", "a"), ("5", "s"), ("cl", "d"), ("e", "c"), ("1", "l"), ("ii", "u"),
-    ("9", "g"), ("rn", "m"), ("m", "in"), ("b", "h"), ("v", "y"), ("6", "b"), ("t", "f"), ("y", "v"), ("lc", "k"), ("n", "ri"), ("vv", "w"), ("h", "li"),
-    ("l2", "r"), ("8", "b"), ("lvi", "m"), ("1vi", "m"), ("m", "rn"), ("d", "cl"), ("u", "ii"), ("w", "vv"), ("k", "lc"), ("l", "i"), ("i", "l"), ("a", "o"),
-    ("h", "b"), ("n", "u"), ("u", "n"), ("q", "g"), ("g", "q"), ("2", "z"), ("7", "t"), ("3", "e"), ("s", "5"), ("l", "1"), ("in", "m"), ("nn", "rm"), ("tn", "m"), ("li", "h"), ("1o", "k"), ("i", "t"),
-    ("r1", "n"), ("0", "a"), ("c1", "d"), ("1i", "u"), ("i1", "u"), ("11", "u"), ("rm", "nn"), ("1c", "k"), ("i2", "r"), ("4", "o"),
+_SINGLE: list[tuple[str, str]] = [
+    ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("o", "a"), ("a", "o"), ("b", "h"), ("h", "b"), ("v", "y"), ("y", "v"), ("l", "i"), ("i", "l"), ("n", "u"), ("u", "n"), ("q", "g"), ("g", "q"), ("i", "t"),
+    ("1", "i"), ("1", "l"), ("l", "1"), ("0", "o"), ("0", "a"), ("4", "a"), ("4", "o"), ("5", "s"), ("s", "5"), ("9", "g"), ("6", "b"), ("8", "b"), ("2", "z"), ("7", "t"), ("3", "e"),
 ]
+_STROKES: list[tuple[str, str]] = [
+    ("ri", "n"), ("n", "ri"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("u", "ii"), ("rn", "m"), ("m", "rn"), ("in", "m"), ("m", "in"), ("lvi", "m"), ("tn", "m"), ("vv", "w"), ("w", "vv"), ("lc", "k"), ("k", "lc"), ("lo", "k"),
+    ("li", "h"), ("h", "li"), ("l2", "r"), ("i2", "r"), ("nn", "rm"), ("rm", "nn"),
+]
+
+
+def _composed() -> list[tuple[str, str]]:
+    """Every confusion, and those of several strokes in which a stroke is itself read as the digit one."""
+    digits = [("".join(x), b) for a, b in _STROKES if len(a) > 1 for x in itertools.product(*[(ch, "1") if ch in "il" else (ch,) for ch in a])]
+    return list(dict.fromkeys([*_SINGLE, *_STROKES, *digits]))
+
+
+CONFUSIONS = _composed()
 #: How many confusions a word may hold.
 MOST = 3
 #: A word is rare if it is so many times rarer among words that are no scan, or in scans against its correction.
 RATIO = 8
 #: A word counts as known from this number of times on outside of scans.
 KNOWN_FROM = 3
+#: A part of a word that is so many times rarer than the whole is no word by itself, however often it stands in a large corpus.
+PART_RATIO = 200
 #: The commonest known words are told apart from the rest before joining: at most so many are broadcast.
 COMMON_WORDS = 2_000
 RUNNING = ("RESPONSIBILITY", "PROFILE_SUMMARY")
 HYPHENS = "-¬‐–—_~­"
 # --- Fixed values: marks that stand between words. ---
-_MARKS = " \t\n\r\f\v.,;:!?\"“”„«»‹›()[]{}<>|/\\•○▪◦●■·☎→…=*#%&+@~_^`´¬‐–—"
-_BULLET = r"^\s*[•○▪◦■●\-–*·»>]\s"
+_MARK = r"\s.,;:!?\"()\[\]{}<>|/\\=*#%&+@~_^`´¬·«»\x{2010}-\x{2017}\x{201a}-\x{203a}\x{2190}-\x{27bf}"
+_MARKS = rf"[{_MARK}]+"
+_AROUND = "-'’"
 _PAGE_NUMBER = (
     r"(?i)^[\s\[\](){}~\-–—.|_*]*(?:(?:page|pa[g9q][ec]|seite|se[i1l]te|pagina|página|p|s|pg|pag)\b\.?\s*)?(?:\d{1,3}|[0-9oOlIiSsBz]{1,2}|x{0,3}(?:ix|iv|v?i{0,3}))"
     r"\s*(?:(?:of|o[ft]|von|de|sur|/)\s*[0-9oOlI]{1,3})?[\s\[\](){}~\-–—.|_*]*$"
@@ -95,21 +109,22 @@ def _aligned(wrong: pd.Series, right: pd.Series) -> pd.Series:
 
 def words_of(text: Column) -> Column:
     """The words of a text in small letters; hyphens and apostrophes within a word belong to it."""
-    spaced = F.translate(F.lower(text), _MARKS, " " * len(_MARKS))
-    return F.filter(F.transform(F.split(spaced, " "), lambda w: F.trim(w, F.lit("-'’"))), lambda w: w != "")
+    return F.filter(F.transform(F.split(F.lower(text), _MARKS), lambda w: F.trim(w, F.lit(_AROUND))), lambda w: w != "")
 
 
 def lines_of(blocks: DataFrame) -> DataFrame:
     """The blocks with text that is not blank, in its one form."""
     order = F.coalesce("reading_order", "line_index")
-    ocr = F.coalesce(F.col("extraction"), F.lit("")) == "ocr"
-    return blocks.where("text is not null and trim(text) <> ''").select("block_id", "upload_id", "page", order.alias("place"), "block_type", "section", ocr.alias("ocr"), "row_id", same_looks.one_form(F.col("text")).alias("text"))
+    rows = blocks.where("text is not null and trim(text) <> ''").select("block_id", "upload_id", "page", order.alias("place"), "block_type", "section", "row_id", "text")
+    return same_looks.in_one_form(rows)
 
 
 def vocabulary(lines: DataFrame) -> DataFrame:
     """word, clean, scanned: how often each word stands outside of scans and in them."""
-    words = lines.select("ocr", F.explode(words_of(F.col("text"))).alias("word"))
-    return words.groupBy("word").agg(F.count_if(~F.col("ocr")).alias("clean"), F.count_if("ocr").alias("scanned"))
+    # first what stands between blanks is counted, then each distinct piece is taken apart
+    pieces = lines.select("ocr", F.explode(F.split("text", " ")).alias("piece")).groupBy("piece").agg(F.count_if(~F.col("ocr")).alias("clean"), F.count_if("ocr").alias("scanned"))
+    words = pieces.select("clean", "scanned", F.explode(words_of(F.col("piece"))).alias("word"))
+    return words.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned"))
 
 
 def corrections(words: DataFrame) -> DataFrame:
@@ -132,11 +147,11 @@ def corrections(words: DataFrame) -> DataFrame:
     single = met.withColumn("confusions", _aligned("word", "right")).where("confusions is not null")
 
     # a word run into the next: its halves are known words; their hashes add up to its own
-    ends = rare.where(F.length("word") >= 6).select("word", F.explode(F.sequence(F.lit(2), F.length("word") - 2)).alias("k"))
-    halves = ends.select("word", F.substring("word", F.lit(1), F.col("k")).alias("a"), F.expr("substring(word, k + 1)").alias("b"))
+    ends = rare.where(F.length("word") >= 6).select("word", (F.col("clean") + F.col("scanned")).alias("often"), F.explode(F.sequence(F.lit(2), F.length("word") - 2)).alias("k"))
+    halves = ends.select("word", "often", F.substring("word", F.lit(1), F.col("k")).alias("a"), F.expr("substring(word, k + 1)").alias("b"))
     left = known.select(F.col("word").alias("a"), F.col("clean").alias("a_clean"))
     right = known.select(F.col("word").alias("b"), F.col("clean").alias("b_clean"))
-    run_on = halves.join(left, "a").join(right, "b").where(F.least("a_clean", "b_clean") >= KNOWN_FROM * RATIO)
+    run_on = halves.join(left, "a").join(right, "b").where((F.least("a_clean", "b_clean") >= KNOWN_FROM * RATIO) & (F.least("a_clean", "b_clean") >= F.col("often") * RATIO))
     run_on = run_on.where(~(F.length("a") < 3) | F.col("a").isin("a", "an", "as", "at", "by", "in", "is", "it", "of", "on", "or", "to", "us", "we", "c#")).where(
         ~(F.length("b") < 3) | F.col("b").isin("a", "an", "as", "at", "by", "in", "is", "it", "of", "on", "or", "to", "us", "we")
     )
@@ -147,8 +162,10 @@ def corrections(words: DataFrame) -> DataFrame:
 
 def skeleton(text: Column) -> Column:
     """A line without what changes from page to page: numbers, a page number at its end, case, and names."""
-    bare = F.regexp_replace(F.lower(F.trim(text)), r"\s{2,}\S{1,4}$", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"\d+", "9"), r"\s+", " ")
+    line = F.lower(F.trim(text))
+    wide = functools.reduce(lambda x, y: x | y, [F.contains(line, F.lit(w)) for w in ("  ", "\t", "\n", "\r", "\f", "\v")])
+    bare = F.when(wide, F.regexp_replace(F.regexp_replace(line, r"\s{2,}\S{1,4}$", ""), r"\s+", " ")).otherwise(line)
+    return F.regexp_replace(bare, r"\d+", "9")
 
 
 def margins(scanned: DataFrame) -> DataFrame:
@@ -178,16 +195,22 @@ def margins(scanned: DataFrame) -> DataFrame:
 
 def ends_of(scanned: DataFrame) -> DataFrame:
     """Of each line: its first and last word and how it begins and ends; what the search for cut words needs of it."""
-    words = words_of(F.col("text"))
-    t = F.regexp_replace("text", r"\s+$", "")
-    return scanned.select(
+    # from both ends inwards, so that no line is read through
+    first = F.nullif(F.regexp_extract("text", rf"^[{_MARK}\-'’]*([^{_MARK}]*[^{_MARK}\-'’])", 1), F.lit(""))
+    last = F.nullif(F.regexp_extract("back", rf"^[{_MARK}\-'’]*([^{_MARK}]*[^{_MARK}\-'’])", 1), F.lit(""))
+    return scanned.withColumn("back", F.reverse("text")).select(
         "block_id", "upload_id", "page", "place", F.xxhash64("text").alias("same"), F.col("row_id").endswith(":layer").alias("layer"),
-        F.try_element_at(words, F.lit(1)).alias("b"), F.try_element_at(words, F.lit(-1)).alias("a"),
-        t.rlike(rf"\p{{L}}[{HYPHENS}]$").alias("hyphen"), t.rlike(rf"\p{{L}} [{HYPHENS}]$").alias("apart"), t.rlike(r"\p{L}$").alias("open"),
+        F.lower(first).alias("b"), F.lower(F.reverse(last)).alias("a"),
+        F.col("back").rlike(rf"^\s*[{HYPHENS}]\p{{L}}").alias("hyphen"), F.col("back").rlike(rf"^\s*[{HYPHENS}] \p{{L}}").alias("apart"), F.col("back").rlike(r"^\s*\p{L}").alias("open"),
         F.col("text").rlike(r"^\p{Ll}").alias("small"), F.col("text").rlike(r"^\p{L}").alias("letter"),
     )
 
 
+def no_word(n: Column, whole: Column, few: int) -> Column:
+    """Is a part that stands n times by itself no word: hardly there at all, or far rarer than the whole?"""
+    return (n < few) | (n * PART_RATIO <= whole)
+
+
 def cut_words(body: DataFrame, words: DataFrame) -> DataFrame:
     """block_id, next_id, first, rest, hyphen of each body line whose last word goes on in the next line.
 
@@ -206,40 +229,42 @@ def cut_words(body: DataFrame, words: DataFrame) -> DataFrame:
     sure = words.where(F.col("clean") >= KNOWN_FROM).select(F.col("word").alias("whole"), F.col("clean").alias("n_whole"))
     parts = parts.join(sure, "whole", "left").where("hyphen or n_whole is not null").fillna(0, ["n_whole"])
     parts = counted(counted(counted(parts, "hyphened", "n_hyphened"), "a", "n_a"), "b", "n_b")
+    least = F.least("n_a", "n_b")
     own_hyphen = (F.col("n_hyphened") > 0) & (F.col("n_hyphened") >= F.col("n_whole"))
-    with_hyphen = F.col("hyphen") & ~own_hyphen & (~F.col("apart") & F.col("small") | (F.col("n_whole") > 0)) & ((F.col("n_whole") > 0) | (F.least("n_a", "n_b") < KNOWN_FROM))
-    without = ~F.col("hyphen") & (F.col("n_whole") > 0) & (F.least("n_a", "n_b") * RATIO <= F.col("n_whole")) & (F.least("n_a", "n_b") < KNOWN_FROM * RATIO)
+    with_hyphen = F.col("hyphen") & ~own_hyphen & (~F.col("apart") & F.col("small") | (F.col("n_whole") > 0)) & ((F.col("n_whole") > 0) | no_word(least, F.greatest("n_a", "n_b"), KNOWN_FROM))
+    without = ~F.col("hyphen") & (F.col("n_whole") > 0) & (least * RATIO <= F.col("n_whole")) & no_word(least, F.col("n_whole"), KNOWN_FROM * RATIO)
     return parts.where(with_hyphen | without).select("block_id", "next_id", F.col("a").alias("first"), F.col("b").alias("rest"), "hyphen")
 
 
-def split_words(running: DataFrame, words: DataFrame, common: DataFrame) -> DataFrame:
+def split_words(rare: DataFrame, words: DataFrame) -> DataFrame:
     """block_id, a, b of words split in two within a line: neighbours of which one is no known word and that together are one.
 
-    ``running`` has block_id and words.
+    ``rare`` has block_id, word, before and after of the words that are not among the commonest: one half at least is one of these.
     """
-    after = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
-    pairs = running.select("block_id", F.explode(F.filter(F.arrays_zip(F.col("words").alias("a"), after.alias("b")), lambda p: p["b"].isNotNull())).alias("p")).select("block_id", "p.a", "p.b")
-    # both among the commonest words: no case; that leaves few pairs for the joins
-    marked = lambda c: F.broadcast(common.select(F.col("word").alias(c), F.lit(True).alias(f"{c}_common")))
-    rarely = pairs.join(marked("a"), "a", "left").join(marked("b"), "b", "left").where("a_common is null or b_common is null").select("block_id", "a", "b")
+    pairs = rare.select("block_id", F.col("before").alias("a"), F.col("word").alias("b")).unionByName(rare.select("block_id", F.col("word").alias("a"), F.col("after").alias("b"))).where("a is not null and b is not null")
     whole = words.where(F.col("clean") >= KNOWN_FROM).select(F.col("word").alias("whole"), F.col("clean").alias("n_whole"))
-    met = rarely.where(F.col("a").rlike(r"^\p{L}+$") & F.col("b").rlike(r"^[\p{L}-]+$")).withColumn("whole", F.concat("a", "b")).join(whole, "whole")
+    met = pairs.where(F.col("a").rlike(r"^\p{L}+$") & F.col("b").rlike(r"^[\p{L}-]+$")).withColumn("whole", F.concat("a", "b")).join(whole, "whole")
     n_a, n_b = words.select(F.col("word").alias("a"), F.col("clean").alias("n_a")), words.select(F.col("word").alias("b"), F.col("clean").alias("n_b"))
-    return met.join(n_a, "a").join(n_b, "b").where((F.least("n_a", "n_b") * RATIO <= F.col("n_whole")) & (F.least("n_a", "n_b") < KNOWN_FROM)).select("block_id", "a", "b")
+    least = F.least("n_a", "n_b")
+    return met.join(n_a, "a").join(n_b, "b").where((least * RATIO <= F.col("n_whole")) & no_word(least, F.col("n_whole"), KNOWN_FROM)).select("block_id", "a", "b").distinct()
 
 
 def common_words(words: DataFrame) -> DataFrame:
-    """The commonest known words, at most COMMON_WORDS: only to keep them out of joins that they have no part in."""
-    return words.where(F.col("clean") >= KNOWN_FROM * RATIO).orderBy(F.desc("clean"), "word").limit(COMMON_WORDS).select("word")
+    """The commonest known words, at most COMMON_WORDS: only to keep them out of joins that they have no part in.
+
+    None of them has a correction, as none is rarer outside of scans; two of them next to each other are two words.
+    """
+    return words.where((F.col("clean") >= KNOWN_FROM * RATIO) & (F.col("clean") * RATIO > F.col("scanned"))).orderBy(F.desc("clean"), "word").limit(COMMON_WORDS).select("word")
 
 
 class Scans:
     """What problem 3 finds in blocks; each part is a DataFrame."""
 
     def __init__(self, blocks: DataFrame):
-        lines = lines_of(blocks)
-        self.words = cut(vocabulary(lines))
-        self.scanned = cut(lines.where("ocr").drop("ocr"))
+        ocr = F.col("extraction").eqNullSafe("ocr")
+        self.scanned = cut(lines_of(blocks.where(ocr)))
+        of_scans, others = self.scanned.select(F.lit(True).alias("ocr"), "text"), lines_of(blocks.where(~ocr)).select(F.lit(False).alias("ocr"), "text")
+        self.words = cut(vocabulary(of_scans.unionByName(others)))
         self.margins = cut(margins(self.scanned).distinct())
         inner = ends_of(self.scanned).join(self.margins, "block_id", "left_anti")
         # rows of a doubled text layer: the original is the row of the page with the same text beside it
@@ -255,15 +280,17 @@ class Scans:
     def misread(self) -> DataFrame:
         """block_id, word, right of each misread word in running text; for halves of a split word ``word`` is both of them."""
         running = self.scanned.where(F.col("block_type").isin(*RUNNING)).select("block_id", words_of(F.col("text")).alias("words"))
-        common = common_words(self.words)
-        rare = running.select("block_id", F.posexplode("words").alias("at", "word"), F.size("words").alias("n")).join(F.broadcast(common), "word", "left_anti")
-        wrong = rare.join(self.corrections, "word")
+        placed = running.select("block_id", "words", F.posexplode("words").alias("at", "word"))
+        beside = lambda k: F.get("words", F.col("at") + k)
+        placed = placed.select("block_id", "at", "word", F.size("words").alias("n"), beside(-1).alias("before"), beside(1).alias("after"))
+        rare = cut(placed.join(F.broadcast(common_words(self.words)), "word", "left_anti"))
+        wrong = rare.select("block_id", "at", "word", "n").join(self.corrections, "word")
         # the parts of a word cut at a line's end are no words
         firsts = self.cut_words.select("block_id", F.col("first").alias("word"), F.lit(True).alias("is_first"))
         rests = self.cut_words.select(F.col("next_id").alias("block_id"), F.col("rest").alias("word"), F.lit(True).alias("is_rest"))
         wrong = wrong.join(firsts, ["block_id", "word"], "left").join(rests, ["block_id", "word"], "left")
         wrong = wrong.where("not (is_first is not null and at = n - 1) and not (is_rest is not null and at = 0)").select("block_id", "word", "right")
-        halves = split_words(running, self.words, common).select("block_id", F.concat_ws(" ", "a", "b").alias("word"), F.concat("a", "b").alias("right"))
+        halves = split_words(rare, self.words).select("block_id", F.concat_ws(" ", "a", "b").alias("word"), F.concat("a", "b").alias("right"))
         return wrong.unionByName(halves).distinct()
 
     def found(self) -> DataFrame:
