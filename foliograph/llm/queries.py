@@ -73,6 +73,11 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encoded(table(spark, folder, "documents"))
 
 
+def p7_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that the ids of all documents stand for; null and empty texts come back empty."""
+    return encode.decoded(p7_ids(spark, folder))
+
+
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(mixture.sized(table(spark, folder, "documents")), table(spark, folder, "mix_targets"))
 
@@ -91,7 +96,7 @@ def p9_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_one_form, p3_found, p3_paragraphs, p3_raw_lines, p4_found, p4_organisations, p5_found, p5_unmatched, p6_found, p6_text, p6_surrogates, p7_ids, p8_mix, p8_shares, p9_pieces, p9_summary)}
+    return {f.__name__: f for f in (p1_found, p1_one_form, p3_found, p3_paragraphs, p3_raw_lines, p4_found, p4_organisations, p5_found, p5_unmatched, p6_found, p6_text, p6_surrogates, p7_ids, p7_texts, p8_mix, p8_shares, p9_pieces, p9_summary)}
 
 
 def oracle_sql() -> dict[str, str]:
