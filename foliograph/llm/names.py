@@ -14,7 +14,7 @@ import re
 from typing import NamedTuple
 
 from . import forms
-from .titles import near
+from .titles import deletes, near
 
 # --- Fixed values: lines of business and their short forms. ---
 LINES: dict[str, str] = {
@@ -65,11 +65,6 @@ def _plain(text: str) -> str:
     return text.lower().replace("ß", "ss").replace("’", "'").translate(_ACCENTS)
 
 
-def deletes(word: str) -> set[str]:
-    """The word and what is left of it without any one letter: two words within one edit share one of these."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
-
-
 _NEIGHBOURS: dict[str, list[str]] = {}
 for _w in sorted({*_FIXED, *_KIND, *GIVEN}):
     if len(_w) >= 3:

@@ -1,16 +1,20 @@
 """Problem 5: values typed freely, mapped to a canonical list of job titles.
 
 Distinct values are normalised (one form of characters, small letters, words of
-grade, term and team dropped, abbreviations spelled out) and looked up in an
-inverted index of the character n-grams of the list's entries and their known
-names in other languages. The score is the cosine of idf-weighted n-grams. The
-best candidates over a threshold get an exact check - every word must be a
-spelling of a word of the name - and the one that needs the fewest edits is
-accepted; without that, one of a high score with a clear margin is. What is not
-accepted is reported with title_id -1.
+grade, term and team dropped, abbreviations spelled out, words respelled to
+known words within one edit) and looked up in an inverted index of the
+character n-grams of the list's entries and their known other names. The score
+is the cosine of n-grams weighted by their rarity; a title is accepted if its
+score reaches a threshold and leads over every other title by a margin. What is
+not accepted is reported with title_id -1.
+
+Respelling uses an index of deletions, so every known word within one edit is
+found. Where several fit, the one is taken that gives the highest score.
 
 The index holds the reference list only. Its size is checked (``MAX_TITLES``),
-so it is a parameter; values, however many, are spread over all tasks.
+so it is a parameter; values, however many, are spread over all tasks. Other
+names come as rows (name, title) beside the list; those of ``known_names`` are
+taken if none are given.
 """
 
 from __future__ import annotations
@@ -28,10 +32,8 @@ from pyspark.sql import functions as F
 from . import forms
 
 GRAM = 3
-#: Least cosine of a candidate that the exact check confirms, and how many candidates are checked.
-THRESHOLD, CHECKED = 0.15, 16
-#: Least cosine, and least lead over the next title, of a candidate accepted without confirmation.
-CLEAR, MARGIN = 0.8, 0.1
+#: Least cosine of an accepted title, and its least lead over every other title.
+THRESHOLD, MARGIN = 0.8, 0.05
 MAX_TITLES = 20_000
 
 # --- Fixed values: words that tell grade, term, shift or team and not the occupation. ---
@@ -106,12 +108,12 @@ def plain(value: str) -> str:
     return (forms.canonical(value) or "").lower().replace("ß", "ss").replace("’", "'").translate(_ACCENTS)
 
 
-def words(value: str) -> list[str]:
-    """The words that tell the occupation, abbreviations spelled out."""
+def words(value: str, joined: bool = False) -> list[str]:
+    """The words that tell the occupation, abbreviations spelled out. ``joined``: words with a hyphen stay one word, without it."""
     out: list[str] = []
     text = re.sub(r"[,(\[/|–—]\s*(?:m\W*[fw]\W*[dx]?|f\W*m\W*[dx]?)\s*[)\]]?", " ", plain(value))
     for whole in _WORD.findall(text):
-        for w in [whole] if whole in OTHER_ENGLISH or whole in SHORT else whole.split("-"):
+        for w in [whole] if whole in OTHER_ENGLISH or whole in SHORT else [whole.replace("-", "")] if joined else whole.split("-"):
             if w in OTHER_ENGLISH or w in SHORT:
                 out += SHORT.get(w, w).split()
             elif re.fullmatch(r"(?:\w\.)+\w?", w):  # C.F.O
@@ -138,31 +140,41 @@ def near(a: str, b: str) -> int:
     return min(3, row[-1])
 
 
+def deletes(word: str) -> set[str]:
+    """The word and what is left of it without any one letter: two words within one edit share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def known_names() -> list[tuple[str, str]]:
+    """(name, title) of the other names of titles that are known: English, German, French and Spanish."""
+    return [(name, title) for title, listed in (*GERMAN.items(), *FRENCH.items(), *SPANISH.items()) for name in listed.split("|")] + [(name, title) for name, title in OTHER_ENGLISH.items() if title]
+
+
 class Index:
     """Inverted index of character n-grams over the names of the titles."""
 
-    def __init__(self, titles: list[tuple[int, str]]):
+    def __init__(self, titles: list[tuple[int, str]], others: list[tuple[str, str]] | None = None):
         ids = {t: i for i, t in titles}
         self.names: list[tuple[list[str], int]] = []
         seen = set()
-
-        def add(name: str, title_id: int | None) -> None:
+        for name, title_id in [(t, i) for i, t in titles] + [(n, ids.get(t)) for n, t in (known_names() if others is None else others)]:
             ws = words(name)
             key = tuple(sorted(ws))
             if title_id is not None and ws and (key, title_id) not in seen:
                 seen.add((key, title_id))
                 self.names.append((ws, title_id))
-
-        for i, t in titles:
-            add(t, i)
-        for table in (GERMAN, FRENCH, SPANISH):
-            for title, others in table.items():
-                for name in others.split("|"):
-                    add(name, ids.get(title))
-        for name, title in OTHER_ENGLISH.items():
-            add(name, ids.get(title))
         self.known = {w for ws, _ in self.names for w in ws}
-        self.exact = {tuple(sorted(ws)): i for ws, i in reversed(self.names)}
+        self.neighbours: dict[str, list[str]] = defaultdict(list)
+        self.stems: dict[str, list[str]] = defaultdict(list)
+        for w in sorted(self.known):
+            for d in deletes(w) if len(w) > 3 else ():
+                self.neighbours[d].append(w)
+            if len(w) > 4:
+                self.stems[w[:-1]].append(w)
+        self.short: dict[str, list[str]] = defaultdict(list)
+        for a in sorted(SHORT):
+            for d in deletes(a) if len(a) > 2 else ():
+                self.short[d].append(a)
         grams = [Counter(self.grams(ws)) for ws, _ in self.names]
         df = Counter(g for c in grams for g in c)
         n = len(grams)
@@ -191,81 +203,72 @@ class Index:
                 total[k] += weight * w
         return total / math.sqrt(norm) if norm else total
 
-    def _edits(self, ws: list[str], name: list[str]) -> int | None:
-        """Edits that make the words those of the name, one in each word at most; None if more are needed."""
-        if len(ws) != len(name):
-            joined, whole = "".join(ws), "".join(name)
-            return 1 + near(joined, whole) if len(whole) > 5 and near(joined, whole) <= 1 else None
-        free, total = list(name), 0
-        for w in sorted(ws, key=len, reverse=True):
-            best = min(free, key=lambda x: near(w, x))
-            edits = near(w, best)
-            if edits > (1 if min(len(w), len(best)) > 3 else 0):
-                # the other gender: the same stem with another ending
-                stem = [x for x in free if len(x) > 4 and w[: len(x) - 1] == x[: len(x) - 1] and len(w) - len(x) in (0, 1, 2)]
-                if not stem:
-                    return None
-                best, edits = stem[0], 1
-            free.remove(best)
-            total += edits
-        return total
-
-    def _spelled_out(self, ws: list[str], all_words: bool) -> list[str]:
-        """The words with misspelt abbreviations spelled out; without ``all_words`` only those that are no misspelt word."""
-        out: list[str] = []
-        for w in ws:
-            if w not in self.known and (all_words or not any(near(w, k) <= 1 for k in self.known if abs(len(k) - len(w)) < 2 and len(k) > 4)):
-                close = sorted(a for a in SHORT if len(a) > 2 and near(w, a) == 1 and (len(a) > 3 or sorted(a) == sorted(w)))
-                if close:
-                    out += SHORT[close[0]].split()
-                    continue
-            out.append(w)
-        return out
+    def spellings(self, w: str) -> list[list[str]]:
+        """What a word may stand for: known words within one edit, abbreviations within one, the other gender of a known word, or itself; itself first if it is known."""
+        close = sorted({x for d in deletes(w) for x in self.neighbours.get(d, ()) if near(w, x) == 1}) if len(w) > 3 else []
+        out = [[x] for x in close]
+        # a short form is a misspelt word only if it has more than three letters or the same ones
+        if w in self.known:
+            return [[w], *out]
+        out += [SHORT[a].split() for a in sorted({a for d in deletes(w) for a in self.short.get(d, ()) if near(w, a) == 1 and (len(a) > 3 or sorted(a) == sorted(w))})]
+        out += [[x] for k in (1, 2, 3) for x in self.stems.get(w[:-k], ()) if len(w) - len(x) in (0, 1, 2) and [x] not in out]
+        return [*out, [w]] if out else [[w]]
 
     def lookup(self, value: str) -> tuple[int, float]:
         """The title meant, or -1, and the score."""
-        ws = words(value)
-        best = self._lookup(ws)
-        for all_words in (False, True):
-            if best[0] < 0 and (spelled := self._spelled_out(ws, all_words)) != ws:
-                best = max(best, self._lookup(spelled))
+        found = [self._best(words(value))]
+        if "-" in plain(value):
+            found.append(self._best(words(value, joined=True)))
+        title, score, lead = max(found, key=lambda f: f[1])
+        return (title, score) if score >= THRESHOLD and lead >= MARGIN else (-1, score)
+
+    def _best(self, ws: list[str]) -> tuple[int, float, float]:
+        """The best title, its score and its lead. Of the spellings of a word the one is kept that gives the highest score, word by word."""
+        if not ws or not self.names:
+            return -1, 0.0, 0.0
+        choices = [self.spellings(w) for w in ws]
+        chosen = [c[0] for c in choices]
+        flat = lambda: [x for c in chosen for x in c]
+        best = self._score(flat())
+        for k, choice in enumerate(choices):
+            for c in choice[1:]:
+                before, chosen[k] = chosen[k], c
+                score = self._score(flat())
+                if score[1] > best[1]:
+                    best = score
+                else:
+                    chosen[k] = before
         return best
 
-    def _lookup(self, ws: list[str]) -> tuple[int, float]:
-        if not ws or not self.names:
-            return -1, 0.0
-        hit = self.exact.get(tuple(sorted(ws)))
-        if hit is not None:
-            return hit, 1.0
+    def _score(self, ws: list[str]) -> tuple[int, float, float]:
         s = self.scores(ws)
-        order = np.argsort(-s, kind="stable")[:CHECKED]
-        fits = sorted((e, -float(s[k]), int(self.title_ids[k])) for k in order if s[k] >= THRESHOLD and (e := self._edits(ws, self.names[k][0])) is not None)
-        if fits:
-            least = [f for f in fits if f[0] == fits[0][0]]
-            if len({f[2] for f in least}) == 1 or least[0][1] < least[1][1] - MARGIN:
-                return fits[0][2], -fits[0][1]
-        best = int(order[0])
-        title = int(self.title_ids[best])
-        other = s[self.title_ids != title]
-        if s[best] >= CLEAR and s[best] - (other.max() if len(other) else 0.0) >= MARGIN:
-            return title, float(s[best])
-        return -1, float(s[best])
-
-
-def mapped(values: DataFrame, titles: DataFrame) -> DataFrame:
-    """value, title_id, score of each distinct ``value`` (a column); title_id -1 for none. Null values are left out."""
+        k = int(np.argmax(s))
+        title, other = int(self.title_ids[k]), s[self.title_ids != self.title_ids[k]]
+        return title, float(s[k]), float(s[k] - (other.max() if len(other) else 0.0))
+
+
+def mapped(values: DataFrame, titles: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """value, title_id, score of each distinct ``value`` (a column); title_id -1 for none. Null values are left out.
+
+    ``names`` has other names of titles as rows (name, title).
+    """
     listed = [(int(r[0]), r[1]) for r in titles.select("title_id", "title").where("title_id is not null and title is not null").distinct().limit(MAX_TITLES + 1).collect()]
-    if len(listed) > MAX_TITLES:
+    others = None if names is None else sorted((r[0], r[1]) for r in names.select("name", "title").where("name is not null and title is not null").distinct().limit(MAX_TITLES + 1).collect())
+    if max(len(listed), len(others or ())) > MAX_TITLES:
         raise ValueError("the reference list is too long for a parameter")
     listed.sort()
 
     @F.pandas_udf("struct<title_id int, score double>")
     def look(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index = Index(listed)
+        index = Index(listed, others)
         for part in parts:
             yield pd.DataFrame([index.lookup(v) for v in part], columns=["title_id", "score"])
 
-    return values.select("value").where("value is not null").distinct().withColumn("hit", look("value")).select("value", "hit.title_id", "hit.score")
+    spark = values.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    distinct = values.select("value").where("value is not null").distinct()
+    # few bytes, but much work: a stated number of tasks is not coalesced
+    return distinct.repartition(tasks, "value").withColumn("hit", look("value")).select("value", "hit.title_id", "hit.score")
 
 
 def blocks_with_titles(blocks: DataFrame, titles: DataFrame) -> DataFrame:
