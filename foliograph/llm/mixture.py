@@ -1,8 +1,9 @@
 """Problem 8: mixing sources to target weights.
 
-Sizes are tokens. The records of a source fall into ``BLOCKS`` blocks by a keyed
-hash, and only the blocks' sizes go to the driver: at most that many rows for
-each source of the target table, whatever the corpus holds. From them come
+Sizes are tokens. The records of a source fall into blocks by a keyed hash, at
+least ``BLOCKS`` and more the larger the source, and only the blocks' sizes go to
+the driver: at most ``MAX_BLOCKS`` for each source of the target table, whatever
+the corpus holds. From them come
 exact quotas: the total is the largest at which every source that has text
 reaches its share within its repeats; shares of sources without text go to the
 others in proportion. A quota is whole copies of a source plus a part of it,
@@ -27,9 +28,15 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from . import encode
 
-BLOCKS = 256
-SHARDS = 16
+#: Blocks of a source at least and at most, and the tokens of a block between both.
+BLOCKS, MAX_BLOCKS, BLOCK_TOKENS = 256, 65_536, 1_000_000
+#: Output shards at least, and the tokens of a shard beyond that.
+SHARDS, SHARD_TOKENS = 16, 50_000_000
 SEED = 42
+#: Copies of a record beyond this number are no mixture any more.
+MAX_REPEATS = 1_000
+#: Drawn blocks up to this number are broadcast; more are joined by a shuffle.
+FEW_UNITS = 100_000
 #: More sources than this are no parameter table any more.
 MAX_SOURCES = 10_000
 
@@ -96,26 +103,38 @@ def sized(documents: DataFrame, path: str = encode.BYTE_BPE) -> DataFrame:
     return cut(documents.select("doc_id", "source", encode.size(F.col("text"), path).alias("tokens")))
 
 
-def mix(sizes: DataFrame, targets: DataFrame, shards: int = SHARDS, seed: int = SEED, blocks: int = BLOCKS, total: float | None = None) -> DataFrame:
-    """The drawn records: doc_id, source, tokens, copy (from 0), shard, place (order within the shard)."""
+def mix(sizes: DataFrame, targets: DataFrame, shards: int | None = None, seed: int = SEED, blocks: int | None = None, total: float | None = None) -> DataFrame:
+    """The drawn records: doc_id, source, tokens, copy (from 0), shard, place (order within the shard).
+
+    Where ``shards`` or ``blocks`` is not given it follows from the tokens there are.
+    """
     spark = sizes.sparkSession
     wanted = targets.where("source is not null and target_share is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).limit(MAX_SOURCES + 1).collect()
     if len(wanted) > MAX_SOURCES:
         raise ValueError("too many sources for a parameter table")
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(blocks)).cast("int")
-    blocked = sizes.where("tokens > 0 and doc_id is not null").where(F.col("source").isin([r[0] for r in wanted])).withColumn("block", block)
+    if any((r[2] or 0) > MAX_REPEATS for r in wanted):
+        raise ValueError(f"a record can't be repeated more than {MAX_REPEATS} times")
+    usable = sizes.where("tokens > 0 and doc_id is not null").where(F.col("source").isin([r[0] for r in wanted]))
+    tokens = {r[0]: r[1] for r in usable.groupBy("source").agg(F.sum("tokens")).collect()}  # at most as many rows as targets
+    blocks_of = {s: blocks or min(MAX_BLOCKS, max(BLOCKS, n // BLOCK_TOKENS)) for s, n in tokens.items()}
+    if not blocks_of:
+        blocks_of = {"": 1}
+    of_source = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(blocks_of.items()) for x in pair]), F.col("source"))
+    blocked = usable.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), of_source).cast("int"))
     found: dict[str, dict[int, int]] = {}
-    for r in blocked.groupBy("source", "block").agg(F.sum("tokens").alias("n")).collect():  # at most sources x blocks rows
+    for r in blocked.groupBy("source", "block").agg(F.sum("tokens").alias("n")).collect():  # at most sources x MAX_BLOCKS rows
         found.setdefault(r[0], {})[r[1]] = r[2]
     sources = [Source(r[0], r[1], r[2] if r[2] is not None else 1, found.get(r[0], {})) for r in wanted]
-    drawn = spark.createDataFrame(plan(sources, shards, seed, total), "source string, block int, copy int, shard int, most bigint")
-    rows = blocked.join(F.broadcast(drawn), ["source", "block"])  # at most sources x blocks x repeats rows are broadcast
+    shards = shards or max(SHARDS, int(sum(quotas(sources, total).values()) // SHARD_TOKENS))
+    units = plan(sources, shards, seed, total)
+    drawn = spark.createDataFrame(units, "source string, block int, copy int, shard int, most bigint")
+    rows = blocked.join(F.broadcast(drawn) if len(units) <= FEW_UNITS else drawn, ["source", "block"])
     key = F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("copy"))
     part = Window.partitionBy("source", "block", "copy").orderBy(key, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = rows.where("most is null")
     some = rows.where("most is not null").withColumn("so_far", F.sum("tokens").over(part)).where("so_far - tokens / 2 <= most").drop("so_far")  # the record nearest to the quota is the last
     out = whole.unionByName(some).select("doc_id", "source", "tokens", "copy", "shard", key.alias("place"))
-    return out.repartition(F.col("shard")).sortWithinPartitions("shard", "place")
+    return out.repartition(shards, "shard").sortWithinPartitions("shard", "place")
 
 
 def shares(sizes: DataFrame, targets: DataFrame, drawn: DataFrame) -> DataFrame:
@@ -123,7 +142,7 @@ def shares(sizes: DataFrame, targets: DataFrame, drawn: DataFrame) -> DataFrame:
     there = sizes.groupBy("source").agg(F.sum("tokens").alias("available_tokens"), F.count("*").alias("records"))
     taken = drawn.groupBy("source").agg(F.sum("tokens").alias("drawn_tokens"), (F.max("copy") + 1).alias("repeats_used"))
     wanted = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    whole = Window.partitionBy()  # over one row for each source
+    total = taken.agg(F.sum("drawn_tokens")).first()[0]  # one number
     return (
         there.join(wanted, there["source"].eqNullSafe(wanted["source"]), "full")
         .select(F.coalesce(wanted["source"], there["source"]).alias("source"), "available_tokens", "records", "target_share", "max_repeats")
@@ -131,7 +150,7 @@ def shares(sizes: DataFrame, targets: DataFrame, drawn: DataFrame) -> DataFrame:
         .select(
             "source",
             F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
-            (F.coalesce("drawn_tokens", F.lit(0)) / F.sum("drawn_tokens").over(whole)).alias("actual_share"),
+            F.try_divide(F.coalesce("drawn_tokens", F.lit(0)), F.lit(total)).alias("actual_share"),
             F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"),
             F.coalesce("drawn_tokens", F.lit(0)).alias("drawn_tokens"),
             F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"),

@@ -9,7 +9,6 @@ initials, nicknames and abbreviations.
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 from typing import NamedTuple
 
@@ -178,13 +177,47 @@ def same_first(a: str, b: str) -> bool:
     return bool(full_names(a) & full_names(b)) or min(len(a), len(b)) > 4 and near(a, b) <= 1
 
 
+#: Cost of giving a word to one that it can't be; more than any number of edits.
+NEVER = 1_000_000
+
+
+def assignment(costs: list[list[int]]) -> int:
+    """The least total cost of giving each row a column of its own (as many columns as rows), by shortest augmenting paths."""
+    n = len(costs)
+    of_row, of_column, owner = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        far, came, done = [NEVER * n + 1] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while owner[at]:
+            done[at], row, least, to = True, owner[at], NEVER * n + 1, 0
+            for j in range(1, n + 1):
+                if not done[j]:
+                    cost = costs[row - 1][j - 1] - of_row[row] - of_column[j]
+                    if cost < far[j]:
+                        far[j], came[j] = cost, at
+                    if far[j] < least:
+                        least, to = far[j], j
+            for j in range(n + 1):
+                if done[j]:
+                    of_row[owner[j]] += least
+                    of_column[j] -= least
+                else:
+                    far[j] -= least
+            at = to
+        while at:
+            owner[at] = owner[came[at]]
+            at = came[at]
+    return sum(costs[owner[j] - 1][j - 1] for j in range(1, n + 1))
+
+
 def align(a: Reading, b: Reading) -> int | None:
     """Edits of the best assignment of one name's words to the other's, or None if they can't be the same."""
     if len(a.core) != len(b.core) or a.line and b.line and a.line != b.line or not same_first(a.first, b.first):
         return None
-    best = None
-    for order in itertools.permutations(b.core):
-        edits = [near(x, y) if min(len(x), len(y)) > 3 else 3 * (x != y) for x, y in zip(a.core, order)]
-        if max(edits) <= 1 and (best is None or sum(edits) < best):
-            best = sum(edits)
-    return best
+
+    def edits(x: str, y: str) -> int:
+        n = near(x, y) if min(len(x), len(y)) > 3 else 3 * (x != y)
+        return n if n <= 1 else NEVER
+
+    total = assignment([[edits(x, y) for y in b.core] for x in a.core])
+    return total if total < NEVER else None

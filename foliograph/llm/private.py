@@ -16,12 +16,14 @@ unchanged; a null or empty text has none.
 
 from __future__ import annotations
 
+import os
 import re
+import secrets
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +34,7 @@ SAMPLE = 5_000
 SAMPLE_LINES = 20_000
 #: A word in so many of the sampled lines is a common word and no family name, unless a candidate has it.
 COMMON = 8
+KEY_SETTING = "spark.foliograph.surrogate.key"
 #: After so many rounds of making colliding surrogates anew it is an error that some are left.
 ROUNDS = 50
 #: Every text with personal information matches: a capital, a digit, '@', a sign outside of ASCII, or an 'at' in brackets.
@@ -120,11 +123,25 @@ def _apart(values: DataFrame, make, by: list[str], same: str) -> DataFrame:
     raise RuntimeError(f"after {ROUNDS} rounds there are still equal surrogates")
 
 
-def surrogates(mentioned: DataFrame, key: str = "change this key") -> DataFrame:
+def secret_key(spark: SparkSession, key: str | None = None) -> str:
+    """The key of surrogates: the one given, or the setting ``spark.foliograph.surrogate.key``, or FOLIOGRAPH_SURROGATE_KEY.
+
+    Where none is set, one is drawn for the session: then nobody can rebuild the mapping, and another session has other surrogates.
+    """
+    key = key or spark.conf.get(KEY_SETTING, None) or os.environ.get("FOLIOGRAPH_SURROGATE_KEY")
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def surrogates(mentioned: DataFrame, key: str | None = None) -> DataFrame:
     """kind, value, surrogate of each distinct value; within a kind distinct values have distinct surrogates.
 
-    Values that are the same but for case, accents and signs between letters and digits count as one.
+    Values that are the same but for case, accents and signs between letters and digits count as one. Names are only found in Latin
+    letters, so surrogates have these. For ``key`` see ``secret_key``.
     """
+    key = secret_key(mentioned.sparkSession, key)
 
     @F.pandas_udf("string")
     def make(kind: pd.Series, value: pd.Series, salt: pd.Series) -> pd.Series:
@@ -163,7 +180,7 @@ def _spliced(text: str, pieces: list) -> str:
     return forms.splice(text, [(starts[x["nth"]] + x["start"], starts[x["nth"]] + x["end"], f"[{x['kind'].upper()} {x['surrogate']}]") for x in pieces])
 
 
-def replaced(texts: DataFrame, model: personal.FamilyNames, key: str = "change this key") -> DataFrame:
+def replaced(texts: DataFrame, model: personal.FamilyNames, key: str | None = None) -> DataFrame:
     """src, id, text of every text, with ``[KIND surrogate]`` in the place of each piece of personal information."""
     mentioned = cut(mentions(texts, model))
     there = mentioned.join(surrogates(mentioned, key), ["kind", "value"])

@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from ..plans.lineage import cut
 from . import names
 
-#: A misspelling may be of a misspelling: so many steps lead to the usual spelling.
-STEPS = 3
+#: Names of one organisation beyond this number are paired in parts, so that a hot organisation is spread over tasks.
+PART = 5_000
 
 
 # types as objects: workers import this module and have no JVM to parse them
@@ -87,10 +87,23 @@ def _near(a: DataFrame, b: DataFrame, with_line: bool) -> DataFrame:
             keys = keys.withColumn("key", F.concat_ws("#", "line", "key"))
         return keys.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("core", "line", "first", "spellings", "n")]).distinct()
 
-    pairs = keyed(a, "a").join(keyed(b, "b"), "key").drop("key").where("core_a <> core_b").distinct()
+    pairs = keyed(a, "a").join(keyed(b, "b").hint("merge"), "key").drop("key").where("core_a <> core_b").distinct()
     return pairs.withColumn("edits", _align("core_a", "line_a", "first_a", "core_b", "line_b", "first_b")).where("edits is not null")
 
 
+def _last(to: DataFrame) -> DataFrame:
+    """core, line, to: a misspelling may be of a misspelling, so steps are followed to their end, twice as far in each round.
+
+    Each step leads to a more widespread spelling, so there is an end.
+    """
+    while True:
+        further = to.select(F.col("core").alias("to"), "line", F.col("to").alias("further"))
+        jumped = cut(to.join(further.hint("merge"), ["to", "line"], "left"))
+        to = jumped.select("core", "line", F.coalesce("further", "to").alias("to"))
+        if jumped.where("further is not null").isEmpty():
+            return to
+
+
 def organisations(spelled: DataFrame) -> DataFrame:
     """name, organisation of each distinct ``name`` (columns name, n) that has a word; the key tells organisations apart."""
     read = spelled.withColumn("r", _read("name")).where("r.core is not null").select("name", "n", "r.core", "r.line", "r.first")
@@ -103,14 +116,12 @@ def organisations(spelled: DataFrame) -> DataFrame:
     better = _near(named, named, True).where(rank("b") > rank("a"))
     to = better.groupBy("core_a", "line_a", "first_a").agg(F.max_by("core_b", rank("b")).alias("to"))
     to = cut(to.groupBy(F.col("core_a").alias("core"), F.col("line_a").alias("line")).agg(F.max_by("to", "first_a").alias("to")))
-    usual = named.withColumn("usual", F.col("core"))
-    for _ in range(STEPS):
-        usual = usual.join(to.select(F.col("core").alias("usual"), "line", "to"), ["usual", "line"], "left").withColumn("usual", F.coalesce("to", "usual")).drop("to")
+    usual = named.join(_last(to).hint("merge"), ["core", "line"], "left").withColumn("usual", F.coalesce("to", "core")).drop("to")
 
     # first names, initials and nicknames before one name of one line
     firsts = usual.groupBy("usual", "line").agg(F.collect_set("first").alias("firsts"))
     means = firsts.select("usual", "line", F.explode(_settle("firsts")).alias("m")).select("usual", "line", "m.first", "m.means")
-    placed = cut(usual.join(means, ["usual", "line", "first"]).select("core", "line", "first", "usual", "means", "spellings", "n"))
+    placed = cut(usual.join(means.hint("merge"), ["usual", "line", "first"]).select("core", "line", "first", "usual", "means", "spellings", "n"))
     key = F.concat_ws("|", "usual", "line", "means")
 
     # names without line of business: to the only organisation they fit, by the same word or else by one within an edit
@@ -126,7 +137,7 @@ def organisations(spelled: DataFrame) -> DataFrame:
     bare_keys = bare.join(only, ["core", "first"], "left").select("core", "line", "first", F.when(F.col("fits") == 1, F.col("fit")).when(F.col("fits").isNull(), own).alias("organisation")).where("organisation is not null")
 
     keys = placed.select("core", "line", "first", key.alias("organisation")).unionByName(bare_keys)
-    return read.join(keys, ["core", "line", "first"]).select("name", "organisation", "n")
+    return read.join(keys.hint("merge"), ["core", "line", "first"]).select("name", "organisation", "n")
 
 
 def spelled_names(blocks: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -139,7 +150,18 @@ def spelled_names(blocks: DataFrame, relationships: DataFrame) -> DataFrame:
 
 def found(blocks: DataFrame, relationships: DataFrame) -> DataFrame:
     """Each pair of different values for the same organisation."""
-    named = cut(organisations(spelled_names(blocks, relationships)).select("name", "organisation"))
-    a, b = named.select(F.col("name").alias("name_a"), "organisation"), named.select(F.col("name").alias("name_b"), "organisation")
+    return pairs(organisations(spelled_names(blocks, relationships)))
+
+
+def pairs(named: DataFrame, part: int = PART) -> DataFrame:
+    """name_a, name_b of each pair of names (columns name, organisation) of one organisation.
+
+    A hot organisation's names fall into parts: each pair is made in the part of its first name, so no task holds all of them.
+    """
+    named = cut(named.select("name", "organisation").distinct())
+    parts = named.groupBy("organisation").agg((1 + F.floor(F.count("*") / part)).cast("int").alias("parts"))
+    split = named.join(parts.hint("merge"), "organisation")
+    a = split.select("organisation", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), F.col("name").alias("name_a"))
+    b = split.select("organisation", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("name_b"))
     # strings compare by their bytes, which in UTF-8 is by code points
-    return a.join(b, "organisation").where("name_a < name_b").select("name_a", "name_b").distinct()
+    return a.join(b.hint("merge"), ["organisation", "part"]).where("name_a < name_b").select("name_a", "name_b")

@@ -279,3 +279,96 @@ def test_pieces(limit, overlap):
     whole = "One sentence here. " * 40
     kinds = [p[4] for p in pieces.split(whole, 30, 0, e)[1:]]
     assert set(kinds) == {"sentence"}
+
+
+# ---- what larger data would show ----
+def test_assignment_is_the_best_of_all_orders():
+    import itertools
+
+    rng = random.Random(7)
+    for _ in range(200):
+        n = rng.randrange(1, 6)
+        costs = [[rng.choice([0, 1, 1, names.NEVER]) for _ in range(n)] for _ in range(n)]
+        best = min(sum(costs[i][j] for i, j in enumerate(order)) for order in itertools.permutations(range(n)))
+        assert names.assignment(costs) == best
+    words = tuple(sorted(f"word{chr(97 + k)}xyz" for k in range(14)))  # trying all orders would take days
+    assert names.align(names.Reading(words, "media", ""), names.Reading(words[::-1], "media", "")) == 0
+
+
+def test_chains_of_misspellings_have_one_end(spark):
+    chain = ["Kemirolun", "Kemirolux", "Kemirolax", "Kemirolaxa", "Kemirolaxas", "Kemirolaxasu", "Kemirolaxasur"]
+    rows = [(f"{word} Software{' ' * k}", 1) for n, word in enumerate(chain) for k in range(len(chain) - n)]
+    keys = {r.organisation for r in spellings.organisations(spark.createDataFrame(rows, "name string, n int")).collect()}
+    assert len(keys) == 1
+
+
+def test_hot_organisation_in_parts(spark):
+    frame = spark.createDataFrame([(f"n{k:02d}", "hot") for k in range(30)] + [("x", "other"), ("y", "other"), ("z", "alone")], "name string, organisation string")
+    for part in (4, 1000):
+        out = [tuple(r) for r in spellings.pairs(frame, part).collect()]
+        assert len(out) == len(set(out)) == 30 * 29 // 2 + 1 and all(a < b for a, b in out)
+
+
+@pytest.mark.parametrize("value, title", [("Wleder", 21), ("Cahsier", 22), ("Projet Manager", 12), ("Co-ordinatr", -1)])
+def test_swapped_letters_of_short_titles(value, title):
+    assert titles.Index([*TITLES, (21, "Welder"), (22, "Cashier")]).lookup(value)[0] == title
+
+
+def test_other_names_are_rows(spark):
+    values = spark.createDataFrame([("Imker",), ("Comptable",), (None,), ("Imker",)], "value string")
+    listed = spark.createDataFrame([(5, "Beekeeper"), (11, "Accountant")], "title_id int, title string")
+    rows = {r.value: r.title_id for r in titles.mapped(values, listed, spark.createDataFrame([("imker", "Beekeeper")], "name string, title string")).collect()}
+    assert rows == {"Imker": 5, "Comptable": -1}
+
+
+def test_pieces_are_measured_as_if_encoded_by_themselves():
+    e = encode.encoder()
+    rng = random.Random(4)
+    for text in filter(None, TEXTS):
+        known = pieces.Text(text, e)
+        known.place_tokens()
+        for _ in range(40):
+            a = rng.randrange(len(text))
+            b = rng.randrange(a, len(text)) + 1
+            assert known.size(a, b) == len(e.tokenizer.encode(text[a:b], add_special_tokens=False).ids)
+
+
+def test_least_count_of_very_many_pieces():
+    e = encode.encoder()
+    text = "word " * 5000
+    n = len(e.encode(text))
+    assert len(pieces.split(text, 40, 0, e)) <= -(-n // 40) + 1
+
+
+def test_tokenizers_that_change_texts_are_refused(tmp_path):
+    import json
+
+    stated = json.load(open(encode.BYTE_BPE, encoding="utf-8"))
+    (tmp_path / "a.json").write_text(json.dumps(stated | {"normalizer": {"type": "Lowercase"}}))
+    with pytest.raises(ValueError):
+        encode.TreeEncoder(str(tmp_path / "a.json"))
+
+
+def test_decoding_gives_the_texts_back(spark):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in encode.decoded(encode.encoded(frame)).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
+
+
+def test_shards_and_blocks_grow_with_size(spark):
+    sizes = spark.createDataFrame([(i, "a", 40_000_000) for i in range(60)], "doc_id bigint, source string, tokens int")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    assert mixture.mix(sizes, targets).select("shard").distinct().count() > mixture.SHARDS
+    with pytest.raises(ValueError):
+        mixture.mix(sizes, spark.createDataFrame([("a", 1.0, 10_000)], "source string, target_share double, max_repeats int"))
+
+
+def test_surrogates_need_no_known_key(spark):
+    frame = spark.createDataFrame([("email", "a@b.example")], "kind string, value string")
+    assert private.surrogates(frame, "one").first().surrogate != private.surrogates(frame, "two").first().surrogate
+    assert private.secret_key(spark) == private.secret_key(spark) and len(private.secret_key(spark)) >= 16
+
+
+def test_halves_that_a_large_corpus_holds(spark):
+    words = spark.createDataFrame([("department", 9000, 0), ("depart", 900, 5), ("ment", 12, 9), ("data", 900, 5), ("base", 100, 5), ("database", 900, 5)], "word string, clean bigint, scanned bigint")
+    rare = spark.createDataFrame([(1, "ment", "depart", None), (2, "base", "data", None)], "block_id bigint, word string, before string, after string")
+    assert {tuple(r) for r in scans.split_words(rare, words).collect()} == {(1, "depart", "ment")}
