@@ -47,7 +47,8 @@ def with_overall(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     p = predicted.groupBy(*key).agg(F.count("*").alias("p"))
     t = truth.groupBy(*key).agg(F.count("*").alias("t"))
     both = p.join(t, key, "full").fillna(0, ["p", "t"])
-    rolled = both.rollup("section").agg(
+    # a document without reference says nothing of quality, so it has no part in the totals
+    rolled = both.join(truth.select("doc").distinct(), "doc", "left_semi").rollup("section").agg(
         F.sum(F.least("p", "t")).alias("true_positive"), F.sum(F.greatest(F.col("p") - F.col("t"), F.lit(0))).alias("false_positive"), F.sum(F.greatest(F.col("t") - F.col("p"), F.lit(0))).alias("false_negative")
     )
     return scores(rolled.fillna("Overall", ["section"]))

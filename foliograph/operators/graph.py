@@ -136,14 +136,14 @@ def groups(edges: DataFrame) -> DataFrame:
     return ends.join(parts, "node").withColumn("group", F.dense_rank().over(rank) - 1).select(KEY, "id", "group")
 
 
-def radial_layout(nodes_of: DataFrame, centre: float = 400.0, radius: float = 260.0) -> DataFrame:
+def radial_layout(nodes_of: DataFrame, centre: tuple[float, float] = (400.0, 250.0), radius: tuple[float, float] = (260.0, 260.0)) -> DataFrame:
     """upload_id, id, x, y: nodes of an upload evenly on a circle in the order of their ids; the person in the middle."""
     order = Window.partitionBy(KEY).orderBy("id")
     whole = Window.partitionBy(KEY)
     others = nodes_of.where("id <> 'person'").withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(whole))
     angle = F.lit(2 * math.pi) * F.col("i") / F.col("n")
-    ring = others.select(KEY, "id", F.round(centre + radius * F.cos(angle), 3).alias("x"), F.round(centre + radius * F.sin(angle), 3).alias("y"))
-    return ring.unionByName(nodes_of.where("id = 'person'").select(KEY, "id", F.lit(centre).alias("x"), F.lit(centre).alias("y")))
+    ring = others.select(KEY, "id", F.round(centre[0] + radius[0] * F.cos(angle), 3).alias("x"), F.round(centre[1] + radius[1] * F.sin(angle), 3).alias("y"))
+    return ring.unionByName(nodes_of.where("id = 'person'").select(KEY, "id", F.lit(centre[0]).alias("x"), F.lit(centre[1]).alias("y")))
 
 
 def statistics(edges: DataFrame) -> DataFrame:

@@ -43,36 +43,64 @@ def doubled_layers(blocks: DataFrame, within: float = 1.0) -> DataFrame:
     return rows.withColumn("far", F.greatest(*far)).where(F.col("far") <= within).select("block_id")
 
 
-def reading_order(blocks: DataFrame, gap: float = 18.0, row_gap: float = 3.0) -> DataFrame:
-    """upload_id, block_id, position: pages read by recursive cuts, first into columns, then into bands.
+def read_in_order(items: list[tuple], gap: float = 18.0, row_gap: float = 3.0, gutter: float = 0.22, shared: float = 0.2) -> list[tuple]:
+    """Items (x0, y0, x1, y1, id) of a page in the order they are read.
 
-    A page is one group; a page is bounded by what a page can hold.
+    The widest gap between columns cuts a page in two, or the widest step between places where lines begin, if that is a share ``gutter`` of the page.
+    Columns of which a share ``shared`` stands beside lines of the other, as dates beside titles, are read row by row; others one after the other.
+    Without columns the widest gap between rows cuts.
     """
 
-    def cuts(items: list[tuple], axis: int, least: float) -> list[list[tuple]]:
-        ordered = sorted(items, key=lambda r: r[axis])
-        out, reach = [[ordered[0]]], ordered[0][axis + 2]
-        for r in ordered[1:]:
-            if r[axis] - reach >= least:
-                out.append([])
-            out[-1].append(r)
-            reach = max(reach, r[axis + 2])
-        return out
-
-    def read(items: list[tuple]) -> list[tuple]:
-        if len(items) < 2:
-            return items
-        columns = cuts(items, 0, gap)
-        if len(columns) > 1:
-            return [r for c in columns for r in read(c)]
-        bands = cuts(items, 1, row_gap)
-        if len(bands) > 1:
-            return [r for b in bands for r in read(b)]
-        return sorted(items, key=lambda r: (round(r[1], 1), r[0], r[4]))
+    def widest(rows: list[tuple], axis: int) -> tuple[float, float]:
+        best, reach = (0.0, 0.0), None
+        for r in sorted(rows, key=lambda r: r[axis]):
+            if reach is not None and r[axis] - reach > best[0]:
+                best = (r[axis] - reach, (r[axis] + reach) / 2)
+            reach = r[axis + 2] if reach is None else max(reach, r[axis + 2])
+        return best
+
+    def beside(one: list[tuple], other: list[tuple]) -> int:
+        spans = sorted((r[1], r[3]) for r in other)
+        return sum(any(min(r[3], bottom) - max(r[1], top) >= -2 for top, bottom in spans) for r in one)
+
+    done: list[tuple] = []
+    todo = [items]  # a stack instead of recursion, as a page may be cut as often as it has lines
+    while todo:
+        rows = todo.pop()
+        if len(rows) < 2:
+            done += rows
+            continue
+        width = max(r[2] for r in rows)
+        space, cut = widest(rows, 0)
+        by_start = False
+        if space < width * gutter:
+            starts = sorted({r[0] for r in rows})
+            step, at = max(((b - a, (a + b) / 2) for a, b in zip(starts, starts[1:])), default=(0.0, 0.0))
+            if step >= width * gutter:
+                space, cut, by_start = step, at, True
+        left = [r for r in rows if (r[0] < cut if by_start else r[2] <= cut)]
+        right = [r for r in rows if r[0] >= cut]
+        if space >= gap and len(left) > 1 and len(right) > 1:
+            a, b = (0, 0) if by_start else (beside(left, right), beside(right, left))
+            if min(a, b) >= 2 and a >= shared * len(left) and b >= shared * len(right):
+                done += sorted(rows, key=lambda r: (round(r[1] / 4), r[0], r[1], r[4]))
+            else:
+                todo += [right, left]
+            continue
+        space, cut = widest(rows, 1)
+        if space > row_gap:
+            todo += [[r for r in rows if r[1] >= cut], [r for r in rows if r[3] <= cut]]
+        else:
+            done += sorted(rows, key=lambda r: (round(r[1], 1), r[0], r[4]))
+    return done
+
+
+def reading_order(blocks: DataFrame) -> DataFrame:
+    """upload_id, page, block_id, position: see ``read_in_order``. A page is one group; it is bounded by what a page can hold."""
 
     def page(rows: pd.DataFrame) -> pd.DataFrame:
         items = list(rows[["x0", "y0", "x1", "y1", "block_id"]].itertuples(index=False, name=None))
-        ids = [r[4] for r in read(items)]
+        ids = [r[4] for r in read_in_order(items)]
         return pd.DataFrame({"upload_id": rows["upload_id"].iloc[0], "page": rows["page"].iloc[0], "block_id": ids, "position": range(len(ids))})
 
     rows = box(blocks).where("page is not null").select(*PAGE, "block_id", "x0", "y0", "x1", "y1")

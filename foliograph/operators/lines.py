@@ -17,8 +17,9 @@ KEY = "upload_id"
 
 def documents(raw_text: DataFrame) -> DataFrame:
     """The latest upload of every document: by loading time, then by id. A repeated key keeps its last write."""
-    last = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("loaded_at"), F.desc(KEY))
-    return raw_text.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").drop("_rank")
+    # only keys and times meet, with partial maxima first, so a document with very many uploads is no burden
+    last = raw_text.groupBy("doc_id").agg(F.max_by(KEY, F.struct(F.col("loaded_at").isNotNull(), "loaded_at", KEY)).alias(KEY)).select(KEY)
+    return raw_text.join(last, KEY, "left_semi")
 
 
 def split_lines(raw_text: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def with_sections(lines: DataFrame, fuzzy: bool = False) -> DataFrame:
     keyed = keyed.withColumn("heading", F.element_at(_heading_map(), F.col("heading_key")))
     if fuzzy:
         known = list(headings.by_heading())
-        open_keys = keyed.where("heading is null and heading_key is not null and length(heading_key) between 5 and 45").where(~F.col("line").rlike(r"[.!?,:;\d]")).select("heading_key").distinct()
+        open_keys = keyed.where("heading is null and heading_key is not null and length(heading_key) <= 60").where(~F.col("line").rlike(r"[.!?]")).select("heading_key").distinct()
         close = open_keys.withColumn("close", text.close_heading(F.col("heading_key"), known)).where("close is not null and heading_key not in ('achievement', 'accomplishment')")
         keyed = keyed.join(close, "heading_key", "left").withColumn("heading", F.coalesce("heading", F.element_at(_heading_map(), F.col("close")))).drop("close")
     so_far = Window.partitionBy(KEY).orderBy("line_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -78,11 +78,11 @@ def nearest(vectors: DataFrame, k: int, every: int = 20) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def connected(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, component (its smallest node): minimum labels spread over edges (a, b), with pointer jumping, to a fixed point."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = nodes.select(F.col("node"), F.col("node").alias("component"))
-    for _ in range(rounds):
+    while True:  # labels only fall, and jumps halve what is left of a chain
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("least"))
         spread = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("least", "component")).alias("next"), "component")
         # jump: a label's own label
@@ -90,21 +90,37 @@ def connected(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame
         jumped = cut(jumped)
         labels = jumped.select("node", "component")
         if jumped.where("component <> before").isEmpty():
-            break
-    return labels
+            return labels
 
 
-def density_clusters(pairs: DataFrame, nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """node, label: clusters of points linked by a similarity of at least ``threshold``; -1 for points without link.
+def density_clusters(pairs: DataFrame, nodes: DataFrame, group: str, threshold: float = 0.5) -> DataFrame:
+    """group, node, label: clusters of points of one group linked by a similarity of at least ``threshold``; -1 for points without link.
 
-    With two points to a core this is exactly density clustering; labels count from 0 by smallest member.
+    With two points to a core this is exactly density clustering; labels count from 0 by smallest member within the group.
     """
     edges = pairs.where(F.col("similarity") >= threshold).select(F.col("i").alias("a"), F.col("j").alias("b"))
     linked = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     parts = connected(edges, linked)
-    roots = parts.select("component").distinct()
-    label = roots.withColumn("label", F.row_number().over(Window.orderBy("component")) - 1)  # one row for each cluster
-    return nodes.join(parts.join(label, "component").select("node", "label"), "node", "left").select("node", F.coalesce("label", F.lit(-1)).alias("label"))
+    placed = nodes.join(parts, "node", "left")
+    number = F.dense_rank().over(Window.partitionBy(group).orderBy(F.col("component").isNull(), "component")) - 1
+    return placed.select(group, "node", F.when(F.col("component").isNull(), -1).otherwise(number).alias("label"))
+
+
+def members(labels: DataFrame, texts: DataFrame, group: str) -> DataFrame:
+    """group, label, members: the texts (node, text) of each cluster; points without cluster are left out."""
+    return labels.where("label >= 0").join(texts, [group, "node"]).groupBy(group, "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]).alias("members"))
+
+
+def labelled_pairs(pairs: DataFrame, texts: DataFrame, group: str) -> DataFrame:
+    """pairs (group, i, j, similarity) with the texts of both ends."""
+    side = lambda name: texts.select(group, F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
+    return pairs.join(side("i"), [group, "i"]).join(side("j"), [group, "j"])
+
+
+def pair_counts(nodes: DataFrame, group: str) -> DataFrame:
+    """group, items, pairs: of n items there are n (n - 1) / 2 pairs."""
+    n = F.count("*")
+    return nodes.groupBy(group).agg(n.alias("items"), (n * (n - 1) / 2).cast("long").alias("pairs"))
 
 
 def k_means(vectors: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:

@@ -1,6 +1,6 @@
 """From raw texts to all artifacts: a library entry, folders, evaluation.
 
-Everything returned is lazy; nothing runs before an action.
+Tables that are read more than once are cut while the artifacts are built, so building them runs jobs; the rest runs with an action.
 """
 
 from __future__ import annotations

@@ -67,11 +67,6 @@ def s4_margin_artifacts(s, d):
 
 
 # ---- rows and their repair ----
-@query("select block_type, count(*) as rows, count(distinct upload_id) as uploads from semantic_blocks group by block_type")
-def c1_block_types(s, d):
-    return _blocks(s, d).groupBy("block_type").agg(F.count("*").alias("rows"), F.count_distinct("upload_id").alias("uploads"))
-
-
 @query(
     r"""with l as (select upload_id, unnest(x) as line, generate_subscripts(x, 1) - 1 as line_index from (select upload_id, string_split(regexp_replace(raw_text, '\r\n?', chr(10), 'g'), chr(10)) as x from raw_text where raw_text is not null and raw_text <> ''))
     select b.block_id, l.line_index from semantic_blocks b join l on l.upload_id = b.upload_id and l.line_index = b.line_index and regexp_replace(l.line, '[ \t]+$', '') = b.text"""
@@ -212,11 +207,6 @@ def r16_coverage(s, d):
     return records.coverage(_blocks(s, d))
 
 
-@query("select section, count(*) as rows from semantic_blocks where section is not null group by section")
-def k11_sections(s, d):
-    return _blocks(s, d).where("section is not null").groupBy("section").agg(F.count("*").alias("rows"))
-
-
 @query()
 def k13_canonical_records(s, d):
     """Of each upload's canonical record the sizes of its parts."""
@@ -282,19 +272,28 @@ def x3_edge_violations(s, d):
     return graph.edge_violations(_edges(s, d))
 
 
-@query("with e as (select upload_id, source as id from relationships union select upload_id, target from relationships), n as (select distinct upload_id, 'block:' || row_id as id from semantic_blocks) select * from n where not exists (select 1 from e where e.upload_id = n.upload_id and e.id = n.id)")
+@query(
+    f"with {_ENDS}, n as (select distinct upload_id, id from ends where id is not null), e as (select upload_id, source as id from relationships where not {_BLANK('source_label')} and not {_BLANK('target_label')} union select upload_id, target from relationships where not {_BLANK('source_label')} and not {_BLANK('target_label')}) select n.* from n where id <> 'person' and not exists (select 1 from e where e.upload_id = n.upload_id and e.id = n.id)"
+)
 def g11_isolated_nodes(s, d):
-    return graph.isolated(_blocks(s, d).select("upload_id", F.concat(F.lit("block:"), "row_id").alias("id")).distinct(), _edges(s, d))
+    """Nodes of which every edge lacks a label, so that none of them can be emitted."""
+    edges = _edges(s, d)
+    labelled = edges.where("trim(coalesce(source_label, '')) <> '' and trim(coalesce(target_label, '')) <> ''")
+    return graph.isolated(graph.nodes(edges).where("id <> 'person'").select("upload_id", "id"), labelled)
 
 
-@query()
+@query(
+    f"""with recursive {_ENDS}, n as (select distinct upload_id, id from ends where id <> 'person'), links as (select distinct upload_id, source as a, target as b from relationships where source <> 'person' and target <> 'person'), both_ways as (select * from links union select upload_id, b, a from links),
+    reach as (select upload_id, id as a, id as b from n union select r.upload_id, r.a, l.b from reach r join both_ways l on l.upload_id = r.upload_id and l.a = r.b), c as (select upload_id, a as id, min(b) as component from reach group by all)
+    select upload_id, id, dense_rank() over (partition by upload_id order by component) - 1 as "group" from c"""
+)
 def g15_relation_groups(s, d):
     return graph.groups(_edges(s, d))
 
 
 @query(
     f"""with {_ENDS}, n as (select distinct upload_id, id from ends where id is not null), r as (select *, row_number() over (partition by upload_id order by id) - 1 as i, count(*) over (partition by upload_id) as n from n where id <> 'person')
-    select upload_id, id, round(400 + 260 * cos(2 * pi() * i / n), 3) as x, round(400 + 260 * sin(2 * pi() * i / n), 3) as y from r union all select upload_id, id, 400, 400 from n where id = 'person'"""
+    select upload_id, id, round(400 + 260 * cos(2 * pi() * i / n), 3) as x, round(250 + 260 * sin(2 * pi() * i / n), 3) as y from r union all select upload_id, id, 400, 250 from n where id = 'person'"""
 )
 def g16_radial_layout(s, d):
     return graph.radial_layout(graph.nodes(_edges(s, d)).select("upload_id", "id"))
@@ -302,10 +301,10 @@ def g16_radial_layout(s, d):
 
 # ---- vectors ----
 def _labels(s: SparkSession, d: str) -> DataFrame:
-    return _edges(s, d).where("target_label is not null and relationship <> 'HAS_EMPLOYMENT_PERIOD'").groupBy("upload_id", "target_label").agg(F.min("edge_id").alias("i"))
+    return _edges(s, d).where("target_label is not null").groupBy("upload_id", "target_label").agg(F.min("edge_id").alias("i"))
 
 
-_TFIDF = r"""labels as (select upload_id, target_label, min(edge_id) as i from relationships where target_label is not null and relationship <> 'HAS_EMPLOYMENT_PERIOD' group by all),
+_TFIDF = r"""labels as (select upload_id, target_label, min(edge_id) as i from relationships where target_label is not null group by all),
 terms as (select upload_id, i, unnest(regexp_extract_all(lower(target_label), '[\p{L}\p{N}_]{2,}')) as term from labels), tf as (select upload_id, i, term, count(*) as tf from terms group by all), n as (select upload_id, count(distinct i) as n from labels group by all),
 df as (select upload_id, term, count(*) as df from tf group by all), w as (select tf.upload_id, i, term, tf * (1 + ln((1.0 + n) / (1.0 + df))) as w from tf join df using (upload_id, term) join n using (upload_id)),
 weights as materialized (select upload_id, i, term, w / sqrt(sum(w * w) over (partition by upload_id, i)) as weight from w),
@@ -329,19 +328,42 @@ def v4_top_pairs(s, d):
     return vectors.top_pairs(pairs, "upload_id").drop("rank")
 
 
-@query(f"with {_TFIDF}, l as (select i from pairs where similarity >= 0.5 union select j from pairs where similarity >= 0.5) select count(*) filter (l.i is not null) as linked, count(*) filter (l.i is null) as alone from labels left join l on l.i = labels.i")
-def v6_linked_and_alone(s, d):
+_PARTS = """links as (select i, j from pairs where similarity >= 0.5 union select j, i from pairs where similarity >= 0.5),
+reach as (select i as a, i as b from links union select reach.a, links.j from reach join links on links.i = reach.b), parts as (select a as node, min(b) as component from reach group by a)"""
+
+
+def _labels_and_pairs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     labels = _labels(s, d)
-    pairs = cut(vectors.sparse_cosine(vectors.tf_idf(labels, "upload_id", "i", "target_label"), "upload_id", "i"))
-    clustered = vectors.density_clusters(pairs, labels.select(F.col("i").alias("node")))
-    return clustered.agg(F.count_if(F.col("label") >= 0).alias("linked"), F.count_if(F.col("label") < 0).alias("alone"))
+    return labels.select("upload_id", F.col("i").alias("node"), F.col("target_label").alias("text")), cut(vectors.sparse_cosine(vectors.tf_idf(labels, "upload_id", "i", "target_label"), "upload_id", "i"))
 
 
-@query()
+@query(
+    f"with recursive {_TFIDF}, {_PARTS} select labels.upload_id, labels.i as node, case when component is null then -1 else dense_rank() over (partition by labels.upload_id order by component is null, component) - 1 end as label from labels left join parts on parts.node = labels.i"
+)
 def v6_density_clusters(s, d):
-    labels = _labels(s, d)
-    pairs = cut(vectors.sparse_cosine(vectors.tf_idf(labels, "upload_id", "i", "target_label"), "upload_id", "i"))
-    return vectors.density_clusters(pairs, labels.select(F.col("i").alias("node")))
+    nodes, pairs = _labels_and_pairs(s, d)
+    return vectors.density_clusters(pairs, nodes.select("upload_id", "node"), "upload_id")
+
+
+@query("select upload_id, count(*) as items, cast(count(*) * (count(*) - 1) / 2 as bigint) as pairs from (select upload_id, target_label from relationships where target_label is not null group by all) group by upload_id")
+def v5_pair_counts(s, d):
+    return vectors.pair_counts(_labels(s, d), "upload_id")
+
+
+@query(
+    f"with recursive {_TFIDF}, {_PARTS}, c as (select labels.upload_id, labels.i, target_label, dense_rank() over (partition by labels.upload_id order by component) - 1 as label from labels join parts on parts.node = labels.i) select upload_id, label, list(target_label order by i) as members from c group by upload_id, label"
+)
+def v9_cluster_members(s, d):
+    nodes, pairs = _labels_and_pairs(s, d)
+    return vectors.members(vectors.density_clusters(pairs, nodes.select("upload_id", "node"), "upload_id"), nodes, "upload_id")
+
+
+@query(
+    f"with {_TFIDF}, t as (select upload_id, i, j, round(round(similarity, 9), 4) as similarity from pairs qualify row_number() over (partition by upload_id order by round(round(similarity, 9), 4) desc, i, j) <= 25) select t.*, a.target_label as text_i, b.target_label as text_j from t join labels a on a.i = t.i join labels b on b.i = t.j"
+)
+def v11_labelled_pairs(s, d):
+    nodes, pairs = _labels_and_pairs(s, d)
+    return vectors.labelled_pairs(vectors.top_pairs(pairs.withColumn("similarity", F.round("similarity", 9)), "upload_id").drop("rank"), nodes, "upload_id")
 
 
 @query(
@@ -358,16 +380,10 @@ def v7_k_means(s, d):
 
 
 @query(
-    """with v as (select vec_id, label, embedding from embeddings where vec_id % 20 = 0), m as (select a.vec_id, a.label, b.label as other, avg(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (cast(p[1] as double) - p[2]) * (cast(p[1] as double) - p[2]))))) as d from v a join v b on a.vec_id <> b.vec_id group by all),
+    """with v as (select vec_id, label, cast(embedding as double[]) as embedding from embeddings), m as (select a.vec_id, a.label, b.label as other, avg(list_distance(a.embedding, b.embedding)) as d from v a join v b on a.vec_id <> b.vec_id group by all),
     o as (select vec_id, d as a from m where label = other), r as (select vec_id, min(d) as b from m where label <> other group by vec_id) select round(avg(case when a is null then 0 else (b - a) / greatest(a, b) end), 4) as silhouette from r left join o using (vec_id)"""
 )
 def v8_silhouette(s, d):
-    """Of the stated sample of vectors whose id is divisible by 20, by their labels."""
-    return vectors.silhouette(table(s, d, "embeddings").where("vec_id % 20 = 0"))
-
-
-@query()
-def v8_silhouette_all(s, d):
     """Of all vectors, by their labels."""
     return vectors.silhouette(table(s, d, "embeddings"))
 
@@ -378,20 +394,16 @@ def v10_previews(s, d):
 
 
 # ---- evaluation: periods of records against the periods of the next upload of a document ----
-def _leaves(s: SparkSession, d: str, unsorted: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Predicted: what blocks say of employments; reference: what the canonical table says, of one upload each.
-
-    The intake folder has no reference; its leaves come along only if ``unsorted``.
-    """
+def _leaves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Predicted: what blocks say of employments; reference: what the canonical table says, of each upload."""
     e = lambda c: F.col(f"entities.{c}")
-    blocks = _blocks(s, d) if unsorted else _blocks(s, d).where("doc_id <> 'cv-unsorted'")
-    predicted = evaluation.leaves(blocks.where("entities.company is not null"), "upload_id", "experience", e("company"), company=e("company"), location=e("location"))
+    predicted = evaluation.leaves(_blocks(s, d).where("entities.company is not null"), "upload_id", "experience", e("company"), company=e("company"), location=e("location"))
     truth = evaluation.leaves(table(s, d, "canonical_resume").where("company is not null"), "upload_id", "experience", F.col("company"), company=F.col("company"), location=F.col("location"))
     return predicted, truth
 
 
 _KEY = lambda c: f"array_to_string(regexp_extract_all(lower(replace({c}, '&', ' and ')), '[\\p{{L}}\\p{{N}}_+#.]+'), ' ')"
-_LEAVES = f"""p as (select upload_id as doc, v.path as path, v.value as value, {_KEY('v.value')} as norm, {_KEY('company')} as anchor from (select upload_id, entities.company as company, unnest([{{'path': 'company', 'value': entities.company}}, {{'path': 'location', 'value': entities.location}}]) as v from semantic_blocks where doc_id <> 'cv-unsorted' and entities.company is not null)),
+_LEAVES = f"""p as (select upload_id as doc, v.path as path, v.value as value, {_KEY('v.value')} as norm, {_KEY('company')} as anchor from (select upload_id, entities.company as company, unnest([{{'path': 'company', 'value': entities.company}}, {{'path': 'location', 'value': entities.location}}]) as v from semantic_blocks where entities.company is not null)),
 t as (select upload_id as doc, v.path as path, v.value as value, {_KEY('v.value')} as norm, {_KEY('company')} as anchor from (select upload_id, company, unnest([{{'path': 'company', 'value': company}}, {{'path': 'location', 'value': location}}]) as v from canonical_resume where company is not null)),
 pc as (select doc, norm, anchor, count(*) as p from p where norm <> '' group by all), tc as (select doc, norm, anchor, count(*) as t from t where norm <> '' group by all),
 both_sides as materialized (select coalesce(pc.doc, tc.doc) as doc, coalesce(p, 0) as p, coalesce(t, 0) as t from pc full join tc on pc.doc = tc.doc and pc.norm = tc.norm and pc.anchor = tc.anchor)"""
@@ -403,20 +415,17 @@ def q4_counts(s, d):
     return evaluation.counts(*_leaves(s, d), "doc")
 
 
-_ALL_LEAVES = _LEAVES.replace("doc_id <> 'cv-unsorted' and ", "")
-
-
 @query(
-    f"""with {_ALL_LEAVES}, c as (select doc, sum(p) as predicted_items, sum(t) as reference_items, sum(least(p, t)) as true_positive, case when sum(t) = 0 then 0 else sum(greatest(p - t, 0)) end as false_positive, sum(greatest(t - p, 0)) as false_negative from both_sides group by doc)
+    f"""with {_LEAVES}, c as (select doc, sum(p) as predicted_items, sum(t) as reference_items, sum(least(p, t)) as true_positive, case when sum(t) = 0 then 0 else sum(greatest(p - t, 0)) end as false_positive, sum(greatest(t - p, 0)) as false_negative from both_sides group by doc)
     select *, round(true_positive / nullif(true_positive + false_positive, 0), 4) as precision, round(true_positive / nullif(true_positive + false_negative, 0), 4) as recall, round(2 * true_positive / nullif(2 * true_positive + false_positive + false_negative, 0), 4) as f1, case when reference_items = 0 then 'no_reference_items' else 'scored' end as state from c"""
 )
 def q5_scores_of_uploads(s, d):
     """Of every upload, the intake folder's too; those without reference have their state and no scores."""
-    return evaluation.by_document(*_leaves(s, d, unsorted=True))
+    return evaluation.by_document(*_leaves(s, d))
 
 
 @query(
-    f"""with {_LEAVES}, c as (select 'experience' as section, {_COUNTED} from both_sides union all select 'Overall', {_COUNTED} from both_sides)
+    f"""with {_LEAVES}, r as (select * from both_sides where doc in (select doc from tc)), c as (select 'experience' as section, {_COUNTED} from r union all select 'Overall', {_COUNTED} from r)
     select *, round(true_positive / nullif(true_positive + false_positive, 0), 4) as precision, round(true_positive / nullif(true_positive + false_negative, 0), 4) as recall, round(2 * true_positive / nullif(2 * true_positive + false_positive + false_negative, 0), 4) as f1, case when true_positive + false_negative = 0 then 'no_reference_items' else 'scored' end as state from c"""
 )
 def q5_scores(s, d):
@@ -448,11 +457,11 @@ def q11_structure(s, d):
 
 
 @query(
-    r"""with w as (select title_id, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}_+#.]+')) as term from job_titles), tf as (select title_id, term, count(*) as tf from w group by all), df as (select term, count(*) as df from tf group by all), n as (select count(distinct title_id) as n from job_titles)
-    select title_id, term, round((1 + ln(tf)) * (1 + ln((n + 1.0) / (df + 1.0))), 9) as weight from tf join df using (term), n"""
+    r"""with w as (select period_id, unnest(regexp_extract_all(lower(source_text), '[\p{L}\p{N}_+#.]+')) as term from canonical_resume), tf as (select period_id, term, count(*) as tf from w group by all), df as (select term, count(*) as df from tf group by all), n as (select count(distinct period_id) as n from canonical_resume)
+    select period_id, term, round((1 + ln(tf)) * (1 + ln((n + 1.0) / (df + 1.0))), 9) as weight from tf join df using (term), n"""
 )
 def q6_evaluator_weights(s, d):
-    return vectors.log_tf_idf(table(s, d, "job_titles"), "title_id", "title").withColumn("weight", F.round("weight", 9))
+    return vectors.log_tf_idf(table(s, d, "canonical_resume"), "period_id", "source_text").withColumn("weight", F.round("weight", 9))
 
 
 def queries() -> dict[str, Query]:

@@ -197,11 +197,11 @@ _COMPANY = r"(?i)^(.*?\b(?:ltd|limited|inc|llc|corp|corporation|gmbh|ag|co)\b\.?
 
 @query(
     rf"""select distinct target_label as typed, coalesce(nullif(regexp_extract(target_label, '{_COMPANY}', 1), ''), trim(target_label)) as company,
-    case when regexp_extract(target_label, '{_COMPANY}', 1) <> '' then trim(regexp_extract(target_label, '{_COMPANY}', 2)) end as place from relationships where relationship = 'WORKED_AT' and target_label is not null"""
+    case when regexp_extract(target_label, '{_COMPANY}', 1) <> '' then trim(regexp_extract(target_label, '{_COMPANY}', 2)) end as place from relationships where target_label is not null"""
 )
 def n18_company_and_place(s, d):
     parts = text.company_and_place(F.col("target_label"))
-    return table(s, d, "relationships").where("relationship = 'WORKED_AT' and target_label is not null").select(F.col("target_label").alias("typed"), parts["company"].alias("company"), parts["place"].alias("place")).distinct()
+    return table(s, d, "relationships").where("target_label is not null").select(F.col("target_label").alias("typed"), parts["company"].alias("company"), parts["place"].alias("place")).distinct()
 
 
 _AT = r"^\s*(.{3,60}?)\s+at\s+(\p{Lu}[^(|]{1,80}?)\s*(?:\(([^()]*)\))?\s*$"
@@ -421,7 +421,9 @@ def e4_patterns(s, d):
     select upload_id, row_number() over (partition by upload_id order by type, frequency desc, text, block) - 1 as entity, text, type, block, confidence, frequency from g"""
 )
 def e8_entities(s, d):
-    return mentions.entities(_mentions(s, d), _sentence_blocks(s, d)).select(KEY, "entity", "text", "type", "block", "confidence", "frequency")
+    sentences = cut(_sentences(s, d))  # read by both kinds of mention and by the blocks
+    blocks = context.blocks(context.joins(context.sentence_lines(sentences))).select(KEY, F.explode("sentence_indices").alias("sentence_index"), "block")
+    return mentions.entities(mentions.all_mentions(sentences), blocks).select(KEY, "entity", "text", "type", "block", "confidence", "frequency")
 
 
 _SKILLISH = ", ".join(f"'{t}'" for t in mentions.SKILL_TYPES)
