@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_graph, queries_periods, queries_text
+from . import queries_graph, queries_periods, queries_rows, queries_text
 
-MODULES = (queries_periods, queries_text, queries_graph)
+MODULES = (queries_periods, queries_text, queries_rows, queries_graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -152,10 +152,11 @@ def n12_strict_periods(s, d):
 @query(
     rf"""select distinct start_date as typed, case when regexp_extract(start_date, '(?i)\b({text.MONTH})\.?\s+(\d{{2}})(?:\D|$)', 2) = '' then start_date
     else regexp_replace(start_date, '(?i)\b({text.MONTH})\.?\s+(\d{{2}})(\D|$)', '\1 ' || case when cast(regexp_extract(start_date, '(?i)\b({text.MONTH})\.?\s+(\d{{2}})(?:\D|$)', 2) as int) <= 39 then '20' else '19' end || '\2\3') end as written
-    from canonical_resume where start_date is not null"""
+    from (select start_date from canonical_resume union all select end_date from canonical_resume) where start_date is not null"""
 )
 def n13_written_years(s, d):
-    return table(s, d, "canonical_resume").select(F.col("start_date").alias("typed"), text.four_digit_year(F.col("start_date")).alias("written")).where("typed is not null").distinct()
+    dates = table(s, d, "canonical_resume").select(F.explode(F.array("start_date", "end_date")).alias("typed"))
+    return dates.select("typed", text.four_digit_year(F.col("typed")).alias("written")).where("typed is not null").distinct()
 
 
 @query(f"with {_SENTENCES} select upload_id, sentence_index, line_index, section_id, sentence from sentences")
