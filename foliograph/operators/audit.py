@@ -29,6 +29,11 @@ def assignments(sectioned: DataFrame, line_blocks: DataFrame) -> DataFrame:
     return rows.select(KEY, "line_index", "section_id", assignment.alias("assignment"), (assignment != "unassigned_content").alias("assigned"), F.when(glyph & ~F.col("is_page_number"), F.col("next_block")).otherwise(F.col("block")).alias("block"))
 
 
+def from_blocks(grouped: DataFrame) -> DataFrame:
+    """upload_id, line_index, block, section_id, section: what blocks by themselves tell of each line, where no audit was kept."""
+    return grouped.select(KEY, F.explode("line_indices").alias("line_index"), "block", "section_id", "section")
+
+
 def section_rollup(assigned: DataFrame) -> DataFrame:
     """upload_id, section_id, lines, headings, blocks, first_line."""
     return assigned.groupBy(KEY, "section_id").agg(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.lineage import cut
 from .lines import KEY
 
 # --- Fixed values: how lines of duties begin, nouns of titles, words of firms, contact labels, labels of fields, and types by section. ---
@@ -170,10 +171,11 @@ def classified(rows: DataFrame, order: str = "line_index") -> DataFrame:
 
 
 def as_blocks(sectioned: DataFrame) -> DataFrame:
-    """Classified lines in the form of layout rows: what records are built from."""
+    """Classified lines in the form of layout rows: what records are built from; cut, as those read them many times."""
     rows = classified(sectioned)
     e = F.struct("company", "designation", "start_date", "end_date", "location")
-    return rows.select(
+    blocks = rows.select(
         F.xxhash64(KEY, "line_index").alias("block_id"), KEY, F.concat(F.lit("d"), "line_index").alias("row_id"), "line_index", F.col("line_index").alias("reading_order"), F.col("line").alias("text"), "section", "section_id", "is_bullet", "block_type",
         F.when(F.col("block_type") == "UNKNOWN", 0.0).otherwise(0.7).alias("confidence"), e.alias("entities"),
     )
+    return cut(blocks)

@@ -7,6 +7,9 @@ value; nothing is matched across documents.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,8 +99,8 @@ def match_errors(predicted: DataFrame, truth: DataFrame, threshold: float = 0.72
     """doc, section, kind, predicted, expected: what kind of error each unmatched value is.
 
     Exact matches are taken away by rank first. What is left of one document's section, which is small, is matched greedily:
-    the same value of another record is a wrongly associated block, a similar one (cosine of word counts) a corrupted value,
-    and what stays is extra or missing content.
+    the same value of another record is a wrongly associated block, a similar one (cosine of the evaluator's weights over the values left) a corrupted value,
+    and what stays is extra or missing content; extra content that another section of the document lacks is a wrongly associated section.
     """
     key = ["doc", "section", "norm", "anchor"]
     nth = lambda f: f.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("path", "value")))
@@ -105,15 +108,12 @@ def match_errors(predicted: DataFrame, truth: DataFrame, threshold: float = 0.72
     rest_p = p.join(t.select(*key, "nth"), [*key, "nth"], "left_anti").select("doc", "section", F.lit("p").alias("side"), "norm", "anchor", "value")
     rest_t = t.join(p.select(*key, "nth"), [*key, "nth"], "left_anti").select("doc", "section", F.lit("t").alias("side"), "norm", "anchor", "value")
 
-    def similar(a: str, b: str) -> float:
-        x, y = a.split(), b.split()
-        common = sum(min(x.count(w), y.count(w)) for w in set(x))
-        return common / ((len(x) * len(y)) ** 0.5) if x and y else 0.0
-
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["norm", "anchor", "value"])
         left = list(rows[rows["side"] == "p"][["norm", "value"]].itertuples(index=False, name=None))
         right = list(rows[rows["side"] == "t"][["norm", "value"]].itertuples(index=False, name=None))
+        weights = evaluator_weights([norm for norm, _ in left + right])
+        similar = lambda a, b: sparse_cosine(weights[a], weights[b])
         out = []
         for norm, value in left:
             same = next((k for k, r in enumerate(right) if r[0] == norm), None)
@@ -132,4 +132,45 @@ def match_errors(predicted: DataFrame, truth: DataFrame, threshold: float = 0.72
         return frame
 
     both = rest_p.unionByName(rest_t).withColumn("doc", F.col("doc").cast("string"))
-    return both.groupBy("doc", "section").applyInPandas(match, "doc string, section string, kind string, predicted string, expected string")
+    found = both.groupBy("doc", "section").applyInPandas(match, "doc string, section string, kind string, predicted string, expected string")
+    elsewhere = rest_t.select(F.col("doc").cast("string").alias("doc"), F.col("section").alias("other"), F.col("value").alias("predicted")).distinct()
+    moved = found.where("kind = 'extra_content'").join(elsewhere, ["doc", "predicted"]).where("section <> other").select("doc", "section", "predicted", F.lit(True).alias("moved")).distinct()
+    found = found.join(moved, ["doc", "section", "predicted"], "left")
+    return found.select("doc", "section", F.when(F.col("moved") & (F.col("kind") == "extra_content"), "wrongly_associated_section").otherwise(F.col("kind")).alias("kind"), "predicted", "expected")
+
+
+def evaluator_weights(values: list[str]) -> dict[str, dict[str, float]]:
+    """Of each value its words' weights: (1 + ln tf) (1 + ln((n + 1) / (df + 1)))."""
+    words = [Counter(v.split()) for v in values]
+    df = Counter(w for c in words for w in c)
+    return {v: {w: (1 + math.log(k)) * (1 + math.log((len(values) + 1) / (df[w] + 1))) for w, k in c.items()} for v, c in zip(values, words)}
+
+
+def sparse_cosine(a: dict[str, float], b: dict[str, float]) -> float:
+    """The cosine of two sparse vectors; 0 if one is empty."""
+    norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    return sum(x * b[w] for w, x in a.items() if w in b) / norm if norm else 0.0
+
+
+def entity_scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """doc, kind with counts, scores and state of lists of entities (doc, kind, value); a kind without reference is no error."""
+    side = lambda f, n: f.where("value is not null").groupBy("doc", "kind", text.word_key(F.col("value")).alias("norm")).agg(F.count("*").alias(n))
+    both = side(predicted, "p").join(side(truth, "t"), ["doc", "kind", "norm"], "full").fillna(0, ["p", "t"])
+    counted = both.groupBy("doc", "kind").agg(
+        F.sum("t").alias("reference_items"), F.sum(F.least("p", "t")).alias("true_positive"), F.sum(F.greatest(F.col("p") - F.col("t"), F.lit(0))).alias("false_positive"), F.sum(F.greatest(F.col("t") - F.col("p"), F.lit(0))).alias("false_negative")
+    )
+    return scores(counted.withColumn("false_positive", F.when(F.col("reference_items") == 0, 0).otherwise(F.col("false_positive"))))
+
+
+def with_truth(files: DataFrame, truth: DataFrame) -> DataFrame:
+    """files (path below the input folder) with truth_path: the reference of the same path, else of the same name in the reference folder itself."""
+    stem = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
+    known = truth.select(F.col("path").alias("truth_path"), stem(F.col("path")).alias("stem"))
+    rows = files.withColumn("stem", stem(F.col("path"))).withColumn("name", F.regexp_extract(stem(F.col("path")), r"([^/]*)$", 1))
+    mirrored, flat = known.select("stem", F.col("truth_path").alias("mirrored")), known.where(~F.contains("stem", F.lit("/"))).select(F.col("stem").alias("name"), F.col("truth_path").alias("flat"))
+    return rows.join(mirrored, "stem", "left").join(flat, "name", "left").select(*files.columns, F.coalesce("mirrored", "flat").alias("truth_path"))
+
+
+def corpus_rollup(results: DataFrame) -> DataFrame:
+    """status, method, documents, with totals of each status and of all (null): rows of documents that were read or failed."""
+    return results.rollup("status", "method").agg(F.count("*").alias("documents"))

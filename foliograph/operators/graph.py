@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
 from .vectors import connected
 
 KEY = "upload_id"
@@ -31,53 +30,73 @@ def edges_of_records(record: DataFrame, names: DataFrame) -> DataFrame:
     """upload_id, source_type, source_label, relationship, target_type, target_label, path of every edge that canonical records give.
 
     ``record`` is what ``records.canonical`` gives, ``names`` has upload_id and candidate_name. Edges without an endpoint's label are left out.
+    A record's edges are one array, so records are read once.
     """
-    # cut, as every kind of edge reads the records again; rows that give no edge stay out
-    of_edges = record.select(
-        KEY, "profile_snapshot", "work_history", "education", "technical_skills", F.struct("personal_information.title", "personal_information.location").alias("personal_information"),
-        F.struct("personal_details.date_of_birth", "personal_details.nationality", "personal_details.languages").alias("personal_details"), "projects", "certifications", "awards", "achievements", "publications", "domain_experience",
-    )
-    person = cut(of_edges).join(names.groupBy(KEY).agg(F.max("candidate_name").alias("candidate_name")), KEY, "left").withColumn("person", F.coalesce(F.nullif(F.trim("candidate_name"), F.lit("")), F.lit("Resume subject")))
-    jobs = person.select(KEY, "person", F.posexplode("work_history").alias("j", "job"))
-    roles = jobs.select(KEY, "person", "j", F.col("job.company").alias("company"), F.posexplode("job.roles").alias("r", "role"))
-    duties = roles.select(KEY, "j", "r", F.col("role.designation").alias("title"), F.posexplode("role.duties").alias("d", "duty"))
-    schools = person.select(KEY, "person", F.posexplode("education").alias("e", "entry"))
-    skills = person.select(KEY, "person", F.explode("technical_skills").alias("category", "items")).select(KEY, "person", "category", F.posexplode("items").alias("s", "skill"))
+    person = record.join(names.groupBy(KEY).agg(F.max("candidate_name").alias("candidate_name")), KEY, "left").withColumn("person", F.coalesce(F.nullif(F.trim("candidate_name"), F.lit("")), F.lit("Resume subject")))
     at = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    period = F.concat_ws(" - ", "role.start_date", "role.end_date")
+    p = F.col("person")
 
-    def edge(frame: DataFrame, a: str, source, relationship: str, b: str, target, path) -> DataFrame:
-        return frame.select(KEY, F.lit(a).alias("source_type"), source.alias("source_label"), F.lit(relationship).alias("relationship"), F.lit(b).alias("target_type"), target.alias("target_label"), path.alias("path"))
+    def edge(a: str, source: Column, relationship: str, b: str, target: Column, path: Column) -> Column:
+        return F.struct(F.lit(a).alias("source_type"), source.alias("source_label"), F.lit(relationship).alias("relationship"), F.lit(b).alias("target_type"), target.cast("string").alias("target_label"), path.alias("path"))
 
-    j, r = F.col("j"), F.col("r")
+    def of_role(job: Column, j: Column, role: Column, r: Column) -> Column:
+        title, here = role["designation"], at("$.work_history[", j, "].roles[", r, "]")
+        period = F.nullif(F.concat_ws(" - ", role["start_date"], role["end_date"]), F.lit(""))
+        own = F.array(edge("PERSON", p, "HAS_ROLE", "JOB_ROLE", title, here), edge("COMPANY", job["company"], "HAS_ROLE", "JOB_ROLE", title, here), edge("JOB_ROLE", title, "HAS_EMPLOYMENT_PERIOD", "EMPLOYMENT_PERIOD", period, here))
+        clients = F.transform(role["clients"], lambda x, i: edge("JOB_ROLE", title, "WORKED_FOR_CLIENT", "CLIENT", x, F.concat(here, F.lit(".clients["), i.cast("string"), F.lit("]"))))
+        duties = F.transform(role["duties"], lambda x, i: edge("JOB_ROLE", title, "HAS_RESPONSIBILITY", "RESPONSIBILITY", x, F.concat(here, F.lit(".duties["), i.cast("string"), F.lit("]"))))
+        return F.concat(own, clients, duties)
+
+    def of_school(e: Column, i: Column) -> Column:
+        here = at("$.education[", i, "]")
+        return F.array(edge("PERSON", p, "COMPLETED_DEGREE", "DEGREE", e["degree"], here), edge("DEGREE", e["degree"], "AWARDED_BY", "INSTITUTION", e["institution"], here), edge("DEGREE", e["degree"], "COMPLETED_IN", "DATE", e["year"], here))
+
+    field = lambda name, relationship, kind: edge("PERSON", p, relationship, kind, F.col(name), F.lit(f"$.{name}"))
+    listed = lambda key, relationship, kind: F.transform(key, lambda x, i: edge("PERSON", p, relationship, kind, x["name"], at(f"$.{key}[", i, "]")))
     parts = [
-        edge(person.where("profile_snapshot is not null"), "PERSON", F.col("person"), "HAS_SUMMARY", "SUMMARY", F.col("profile_snapshot"), F.lit("$.profile_snapshot")),
-        edge(jobs, "PERSON", F.col("person"), "WORKED_AT", "COMPANY", F.col("job.company"), at("$.work_history[", j, "]")),
-        edge(roles, "PERSON", F.col("person"), "HAS_ROLE", "JOB_ROLE", F.col("role.designation"), at("$.work_history[", j, "].roles[", r, "]")),
-        edge(roles, "COMPANY", F.col("company"), "HAS_ROLE", "JOB_ROLE", F.col("role.designation"), at("$.work_history[", j, "].roles[", r, "]")),
-        edge(roles, "JOB_ROLE", F.col("role.designation"), "HAS_EMPLOYMENT_PERIOD", "EMPLOYMENT_PERIOD", F.nullif(period, F.lit("")), at("$.work_history[", j, "].roles[", r, "]")),
-        edge(duties, "JOB_ROLE", F.col("title"), "HAS_RESPONSIBILITY", "RESPONSIBILITY", F.col("duty"), at("$.work_history[", j, "].roles[", r, "].duties[", F.col("d"), "]")),
-        edge(schools, "PERSON", F.col("person"), "COMPLETED_DEGREE", "DEGREE", F.col("entry.degree"), at("$.education[", F.col("e"), "]")),
-        edge(schools, "DEGREE", F.col("entry.degree"), "AWARDED_BY", "INSTITUTION", F.col("entry.institution"), at("$.education[", F.col("e"), "]")),
-        edge(schools, "DEGREE", F.col("entry.degree"), "COMPLETED_IN", "DATE", F.col("entry.year"), at("$.education[", F.col("e"), "]")),
-        edge(skills, "PERSON", F.col("person"), "HAS_TECHNOLOGY_SKILL", "TECHNOLOGY", F.col("skill"), at("$.technical_skills.", F.col("category"), "[", F.col("s"), "]")),
-    ]
-    for field, relationship, kind in (("personal_information.title", "HAS_PROFESSIONAL_TITLE", "JOB_TITLE"), ("personal_information.location", "LOCATED_IN", "LOCATION"), ("personal_details.date_of_birth", "HAS_DATE_OF_BIRTH", "DATE"), ("personal_details.nationality", "HAS_NATIONALITY", "NATIONALITY")):
-        parts.append(edge(person, "PERSON", F.col("person"), relationship, kind, F.col(field), F.lit(f"$.{field}")))
-    spoken = person.select(KEY, "person", F.posexplode("personal_details.languages").alias("i", "language"))
-    parts.append(edge(spoken, "PERSON", F.col("person"), "SPEAKS", "LANGUAGE", F.col("language"), at("$.personal_details.languages[", F.col("i"), "]")))
-    for key, relationship, kind in (
-        ("projects", "COMPLETED_PROJECT", "PROJECT"), ("certifications", "HAS_CERTIFICATION", "CERTIFICATION"), ("awards", "HAS_AWARD", "AWARD"), ("achievements", "HAS_ACHIEVEMENT", "ACHIEVEMENT"), ("publications", "AUTHORED_PUBLICATION", "PUBLICATION"),
-        ("domain_experience", "HAS_DOMAIN_EXPERIENCE", "DOMAIN"),
-    ):
-        items = person.select(KEY, "person", F.posexplode(key).alias("i", "item"))
-        parts.append(edge(items, "PERSON", F.col("person"), relationship, kind, F.col("item.name"), at(f"$.{key}[", F.col("i"), "]")))
-    tools = person.select(KEY, F.posexplode("projects").alias("i", "item")).select(KEY, "i", F.col("item.name").alias("project"), F.posexplode("item.technologies").alias("k", "tool"))
-    parts.append(edge(tools, "PROJECT", F.col("project"), "USED_TECHNOLOGY", "TECHNOLOGY", F.col("tool"), at("$.projects[", F.col("i"), "].technologies[", F.col("k"), "]")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where("trim(source_label) <> '' and trim(target_label) <> ''")
+        F.array(
+            field("profile_snapshot", "HAS_SUMMARY", "SUMMARY"), field("personal_information.title", "HAS_PROFESSIONAL_TITLE", "JOB_TITLE"), field("personal_information.location", "LOCATED_IN", "LOCATION"),
+            field("personal_details.date_of_birth", "HAS_DATE_OF_BIRTH", "DATE"), field("personal_details.nationality", "HAS_NATIONALITY", "NATIONALITY"),
+        ),
+        F.transform("personal_details.languages", lambda x, i: edge("PERSON", p, "SPEAKS", "LANGUAGE", x, at("$.personal_details.languages[", i, "]"))),
+        F.transform("work_history", lambda job, j: edge("PERSON", p, "WORKED_AT", "COMPANY", job["company"], at("$.work_history[", j, "]"))),
+        F.flatten(F.transform("work_history", lambda job, j: F.flatten(F.transform(job["roles"], lambda role, r: of_role(job, j, role, r))))),
+        F.flatten(F.transform("education", of_school)),
+        listed("skills", "HAS_SKILL", "SKILL"),
+        F.flatten(F.transform(F.map_entries("technical_skills"), lambda c: F.transform(c["value"], lambda x, i: edge("PERSON", p, "HAS_TECHNOLOGY_SKILL", "TECHNOLOGY", x, at("$.technical_skills.", c["key"], "[", i, "]"))))),
+        listed("projects", "COMPLETED_PROJECT", "PROJECT"), listed("certifications", "HAS_CERTIFICATION", "CERTIFICATION"), listed("awards", "HAS_AWARD", "AWARD"), listed("achievements", "HAS_ACHIEVEMENT", "ACHIEVEMENT"),
+        listed("publications", "AUTHORED_PUBLICATION", "PUBLICATION"), listed("domain_experience", "HAS_DOMAIN_EXPERIENCE", "DOMAIN"),
+        F.flatten(F.transform("projects", lambda x, i: F.transform(x["technologies"], lambda t, k: edge("PROJECT", x["name"], "USED_TECHNOLOGY", "TECHNOLOGY", t, at("$.projects[", i, "].technologies[", k, "]"))))),
+    ]
+    none = F.array().cast("array<struct<source_type:string,source_label:string,relationship:string,target_type:string,target_label:string,path:string>>")
+    every = person.select(KEY, F.explode(F.concat(*[F.coalesce(x, none) for x in parts])).alias("e")).select(KEY, "e.*")
+    return every.where("trim(source_label) <> '' and trim(target_label) <> ''")
+
+
+def evidence_text(record: DataFrame) -> DataFrame:
+    """upload_id, path, value: the leaves of the parts that edges come from, by the path of their record; what a path's evidence is made of."""
+    jobs = record.select(KEY, F.posexplode("work_history").alias("j", "job"))
+    roles = jobs.select(KEY, "j", F.posexplode("job.roles").alias("r", "role"))
+    path = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    out = [
+        record.select(KEY, F.lit("$.profile_snapshot").alias("path"), F.col("profile_snapshot").alias("value")),
+        jobs.select(KEY, path("$.work_history[", F.col("j"), "]").alias("path"), F.concat_ws(" ", "job.company", "job.location", F.transform("job.roles", lambda r: r["designation"])).alias("value")),
+        roles.select(KEY, path("$.work_history[", F.col("j"), "].roles[", F.col("r"), "]").alias("path"), F.concat_ws(" ", "role.designation", "role.start_date", "role.end_date", "role.location", "role.duties", "role.clients", "role.achievements").alias("value")),
+        record.select(KEY, F.posexplode("education").alias("i", "e")).select(KEY, path("$.education[", F.col("i"), "]").alias("path"), F.concat_ws(" ", "e.degree", "e.institution", "e.year").alias("value")),
+    ]
+    every = out[0]
+    for part in out[1:]:
+        every = every.unionByName(part)
+    return every.where("trim(value) <> ''")
+
+
+def at_path(leaves: DataFrame, wanted: DataFrame) -> DataFrame:
+    """upload_id, path, value of the wanted (upload_id, path); of a path that is no leaf, of the nearest record above it."""
+    parts = F.split("path", r"(?=[.\[])")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), ""))
+    above = wanted.select(KEY, "path", F.explode(prefixes).alias("above"))
+    met = above.join(leaves.select(KEY, F.col("path").alias("above"), "value"), [KEY, "above"])
+    return met.groupBy(KEY, "path").agg(F.max_by("value", F.length("above")).alias("value"))
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -118,6 +137,35 @@ def edge_violations(edges: DataFrame) -> DataFrame:
     return rows.select(KEY, "edge_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
 
 
+def scope_violations(edges: DataFrame) -> DataFrame:
+    """upload_id, edge_id, rule: edges whose evidence lies outside of their scope, or whose scope is not that of their kind."""
+    base = {"WORKED_AT": r"^\$\.work_history\[\d+\]$", "HAS_ROLE": r"^\$\.work_history\[\d+\]$", "HAS_EMPLOYMENT_PERIOD": r"^\$\.work_history\[\d+\]\.roles\[\d+\]$", "COMPLETED_DEGREE": r"^\$\.education\[\d+\]$", "AWARDED_BY": r"^\$\.education\[\d+\]$", "HAS_SKILL": r"^\$\.skills$"}
+    scope, evidence = F.col("scope_path"), F.col("evidence_path")
+    wrong = F.lit(False)
+    for relationship, pattern in sorted(base.items()):
+        wrong = wrong | ((F.col("relationship") == relationship) & ~scope.rlike(pattern))
+    inside = (evidence == scope) | F.startswith(evidence, F.concat(scope, F.lit("."))) | F.startswith(evidence, F.concat(scope, F.lit("[")))
+    rules = F.array(F.when(scope.isNull() | evidence.isNull(), "no source context"), F.when(wrong, "scope of another kind"), F.when(~inside, "evidence outside of the scope"))
+    return edges.select(KEY, "edge_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
+
+
+def typed_violations(edges: DataFrame) -> DataFrame:
+    """rows of typed edges (source_type, relationship, target_type) that are no allowed triple."""
+    allowed = F.array(*[F.lit("|".join(t)) for t in TRIPLES])
+    return edges.where(~F.array_contains(allowed, F.concat_ws("|", "source_type", "relationship", "target_type")))
+
+
+def unconnected(edges: DataFrame) -> DataFrame:
+    """upload_id, id, rule: roles that no person or employer has, and employers of no person, by ids of the edges."""
+    roles = edges.where("relationship = 'HAS_ROLE'").select(KEY, F.col("target").alias("id"), (F.col("source") == "person").alias("of_person"))
+    held = edges.where("relationship = 'HAS_EMPLOYMENT_PERIOD'").select(KEY, F.col("source").alias("id"), F.lit(None).cast("boolean").alias("of_person"))
+    by_role = roles.unionByName(held).where("id is not null").groupBy(KEY, "id").agg(F.count_if(F.col("of_person")).alias("person"), F.count_if(~F.col("of_person")).alias("employer"))
+    lone = by_role.select(KEY, "id", F.explode(F.filter(F.array(F.when(F.col("person") == 0, "role of no person"), F.when(F.col("employer") == 0, "role of no employer")), lambda r: r.isNotNull())).alias("rule"))
+    firms = edges.where("relationship = 'HAS_ROLE' and source <> 'person'").select(KEY, F.col("source").alias("id")).distinct()
+    known = edges.where("relationship = 'WORKED_AT'").select(KEY, F.col("target").alias("id"))
+    return lone.unionByName(firms.join(known, [KEY, "id"], "left_anti").select(KEY, "id", F.lit("employer of no person").alias("rule")))
+
+
 def isolated(nodes_of: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes (upload_id, id) of no edge."""
     ends = edges.select(KEY, F.col("source").alias("id")).unionByName(edges.select(KEY, F.col("target").alias("id"))).distinct()

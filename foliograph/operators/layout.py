@@ -71,16 +71,18 @@ def read_in_order(items: list[tuple], gap: float = 18.0, row_gap: float = 3.0, g
             done += rows
             continue
         width = max(r[2] for r in rows)
-        space, cut = widest(rows, 0)
+        space, cut = real, at_gap = widest(rows, 0)
         by_start = False
         if space < width * gutter:
             starts = sorted({r[0] for r in rows})
             step, at = max(((b - a, (a + b) / 2) for a, b in zip(starts, starts[1:])), default=(0.0, 0.0))
             if step >= width * gutter:
                 space, cut, by_start = step, at, True
-        left = [r for r in rows if (r[0] < cut if by_start else r[2] <= cut)]
-        right = [r for r in rows if r[0] >= cut]
-        if space >= gap and len(left) > 1 and len(right) > 1:
+        left, right = [r for r in rows if r[0] < cut], [r for r in rows if r[0] >= cut]
+        if by_start and min(len(left), len(right)) < 2:  # one line set off is no column, unless nothing else reaches over to it
+            space, cut, by_start = real, at_gap, False
+            left, right = [r for r in rows if r[0] < cut], [r for r in rows if r[0] >= cut]
+        if space >= gap and left and right:
             a, b = (0, 0) if by_start else (beside(left, right), beside(right, left))
             if min(a, b) >= 2 and a >= shared * len(left) and b >= shared * len(right):
                 done += sorted(rows, key=lambda r: (round(r[1] / 4), r[0], r[1], r[4]))

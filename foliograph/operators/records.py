@@ -20,6 +20,8 @@ CANONICAL_KEYS = {
     "header": "personal_information", "personal information": "personal_information", "personal details": "personal_details", "languages": "personal_details", "references": "source_sections",
 }
 
+#: The category of skills that stand under none.
+NO_CATEGORY = "Skills"
 #: Keys whose rows come as lists of items.
 LISTED = ("projects", "certifications", "awards", "achievements", "publications", "domain_experience")
 
@@ -40,7 +42,7 @@ def numbered_rows(blocks: DataFrame) -> DataFrame:
 
 
 def employments(blocks: DataFrame) -> DataFrame:
-    """upload_id, job, company, location, roles: ARRAY of (role, designation, start_date, end_date, location, duties, source_blocks)."""
+    """upload_id, job, company, location, roles: ARRAY of (role, designation, start_date, end_date, location, duties, clients, achievements, source_blocks)."""
     rows = numbered_rows(blocks).where("job > 0")
     e = lambda c: F.nullif(F.trim(F.col(f"entities.{c}")), F.lit(""))
     by_place = lambda c, kept: F.min_by(c, F.when(kept, F.struct("reading_order", "block_id")))
@@ -59,12 +61,18 @@ def employments(blocks: DataFrame) -> DataFrame:
         by_place(e("company"), e("company").isNotNull()).alias("company"),
         F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "row_id"))), lambda x: x["row_id"]).alias("source_blocks"),
     )
-    roles = roles.join(duties, [KEY, "job", "role"], "left")
+    listed = lambda kind, pattern, name: (
+        rows.where(F.col("block_type") == kind).select(KEY, "job", "role", "reading_order", F.posexplode(F.split(F.regexp_replace(text.without_marker(F.col("text")), pattern, ""), r"\s*[;|]\s*" if kind == "CLIENT" else "\u0001")).alias("at", "v"))
+        .where("trim(v) <> ''").groupBy(KEY, "job", "role").agg(F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "at", F.trim("v").alias("v")))), lambda x: x["v"]).alias(name))
+    )
+    clients = listed("CLIENT", r"(?i)^\s*clients?\s*[:–—-]?\s*", "clients")
+    achieved = listed("ACHIEVEMENT", r"(?i)^\s*(?:key\s+)?(?:achievement|accomplishment)s?\s*[:–—-]\s*", "achievements")
+    roles = roles.join(duties, [KEY, "job", "role"], "left").join(clients, [KEY, "job", "role"], "left").join(achieved, [KEY, "job", "role"], "left")
     # an employer's own rows have role 0: they give company and place, and a role only if there is no other
     job = roles.groupBy(KEY, "job").agg(
         F.min_by("company", F.when(F.col("company").isNotNull(), F.col("role"))).alias("company"),
         F.min_by("location", F.when(F.col("location").isNotNull(), F.col("role"))).alias("location"),
-        F.sort_array(F.collect_list(F.when((F.col("role") > 0) | F.col("designation").isNotNull(), F.struct("role", "designation", "start_date", "end_date", "location", F.coalesce("duties", F.array().cast("array<string>")).alias("duties"), "source_blocks")))).alias("roles"),
+        F.sort_array(F.collect_list(F.when((F.col("role") > 0) | F.col("designation").isNotNull(), F.struct("role", "designation", "start_date", "end_date", "location", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("duties", "clients", "achievements")], "source_blocks")))).alias("roles"),
     )
     return job
 
@@ -88,11 +96,17 @@ def education(blocks: DataFrame) -> DataFrame:
     return parts.where("entry > 0").groupBy(KEY, "entry").agg(first("degree"), first("institution"), first("year"), F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "row_id"))), lambda x: x["row_id"]).alias("source_blocks"))
 
 
+def skills(blocks: DataFrame) -> DataFrame:
+    """upload_id, skills: ARRAY of (name, category) of sections of general skills that stand under no category, once each; those with one are technical."""
+    items = technical_skills(blocks.where(canonical_key(F.col("section")) == "skills")).where(F.col("category") == NO_CATEGORY).select(KEY, "category", F.posexplode("items").alias("at", "name"))
+    return items.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("category", "at", "name"))), lambda x: F.struct(x["name"].alias("name"), x["category"].alias("category"))).alias("skills"))
+
+
 def technical_skills(blocks: DataFrame) -> DataFrame:
     """upload_id, category, items: skills by category in order; separators within brackets do not count."""
     pattern = r"^\s*([A-Za-z][A-Za-z &/]{1,30}):\s*(.*)$"
-    rows = blocks.where("block_type = 'SKILL' and text is not null").select(KEY, "reading_order", "block_id", F.nullif(F.trim(F.regexp_extract("text", pattern, 1)), F.lit("")).alias("label"), "text")
-    rows = rows.withColumn("category", F.coalesce(F.last("label", ignorenulls=True).over(_upto("reading_order", "block_id")), F.lit("Skills")))
+    rows = blocks.where("block_type in ('SKILL', 'TECHNOLOGY') and text is not null").select(KEY, "reading_order", "block_id", F.nullif(F.trim(F.regexp_extract("text", pattern, 1)), F.lit("")).alias("label"), "text")
+    rows = rows.withColumn("category", F.coalesce(F.last("label", ignorenulls=True).over(_upto("reading_order", "block_id")), F.lit(NO_CATEGORY)))
     listed = F.when(F.col("label").isNotNull(), F.regexp_extract("text", pattern, 2)).otherwise(F.col("text"))
     items = rows.select(KEY, "category", "reading_order", F.posexplode(F.split(listed, r"\s*[|;,]\s*(?![^()]*\))")).alias("at", "item")).where("trim(item) <> ''")
     return items.groupBy(KEY, "category").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "at", F.trim("item").alias("item")))), lambda x: x["item"])).alias("items"))
@@ -169,26 +183,27 @@ def unplaced(blocks: DataFrame) -> DataFrame:
     """The rows that no other part of the canonical record takes: those of sections without key, and those of no use within the others."""
     rows = _real(blocks)
     named = F.max(F.nullif(F.trim("entities.company"), F.lit(""))).over(Window.partitionBy(KEY, "job"))
-    of_jobs = F.col("block_type").isin("COMPANY", "COMPANY_ROLE", "ROLE", "DATE_RANGE", "LOCATION") | ((F.col("block_type") == "RESPONSIBILITY") & (F.col("role") > 0))
+    of_jobs = F.col("block_type").isin("COMPANY", "COMPANY_ROLE", "ROLE", "DATE_RANGE", "LOCATION") | ((F.col("block_type") == "RESPONSIBILITY") & (F.col("role") > 0)) | F.col("block_type").isin("CLIENT", "ACHIEVEMENT")
     taken = numbered_rows(blocks).withColumn("named", named).where((F.col("job") > 0) & F.col("named").isNotNull() & of_jobs).select("block_id").unionByName(_entries(blocks).where("entry > 0").select("block_id"))
-    left = rows.where(~F.col("key").isin("source_sections", "personal_information", "personal_details", *LISTED) & ~F.col("kind").isin("PROFILE_SUMMARY", "SKILL")).drop("key", "kind").join(taken, "block_id", "left_anti")
+    left = rows.where(~F.col("key").isin("source_sections", "personal_information", "personal_details", *LISTED) & ~F.col("kind").isin("PROFILE_SUMMARY", "SKILL", "TECHNOLOGY")).drop("key", "kind").join(taken, "block_id", "left_anti")
     return left.unionByName(blocks.where("text is not null").where(canonical_key(F.col("section")) == "source_sections"))
 
 
 def canonical(blocks: DataFrame) -> DataFrame:
-    """One record for each upload: upload_id, schema_version, profile_snapshot, work_history, education, technical_skills, personal_information, personal_details, the keys of LISTED, source_sections.
+    """One record for each upload: upload_id, schema_version, profile_snapshot, work_history, education, skills, technical_skills, personal_information, personal_details, the keys of LISTED, source_sections.
 
     Every row with text that is no artifact and no heading is in one of them.
     """
     jobs = employments(blocks).where("company is not null").groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("job", "company", "location", "roles"))).alias("work_history"))
     schools = education(blocks).groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("entry", "degree", "institution", "year", "source_blocks"))).alias("education"))
-    skills = technical_skills(blocks).groupBy(KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "items")))).alias("technical_skills"))
+    general, own = technical_skills(blocks.where(canonical_key(F.col("section")) == "skills")).where(F.col("category") != NO_CATEGORY), technical_skills(blocks.where(canonical_key(F.col("section")) != "skills"))
+    technical = general.unionByName(own).groupBy(KEY, "category").agg(F.flatten(F.collect_list("items")).alias("items")).groupBy(KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "items")))).alias("technical_skills"))
     other = unplaced(blocks).groupBy(KEY, F.coalesce("section", F.lit("")).alias("section")).agg(F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "block_id", "text"))), lambda x: x["text"]).alias("lines"))
     other = other.groupBy(KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "lines")))).alias("source_sections"))
     base = blocks.select(KEY).distinct()
-    for part in (profile(blocks).withColumnRenamed("profile", "profile_snapshot"), jobs, schools, skills, personal(blocks), listed(blocks), other):
+    for part in (profile(blocks).withColumnRenamed("profile", "profile_snapshot"), jobs, schools, skills(blocks), technical, personal(blocks), listed(blocks), other):
         base = base.join(part, KEY, "left")
-    return base.select(KEY, F.lit("canonical-resume/v1").alias("schema_version"), "profile_snapshot", "work_history", "education", "technical_skills", "personal_information", "personal_details", *LISTED, "source_sections")
+    return base.select(KEY, F.lit("canonical-resume/v1").alias("schema_version"), "profile_snapshot", "work_history", "education", "skills", "technical_skills", "personal_information", "personal_details", *LISTED, "source_sections")
 
 
 def readable(record: DataFrame) -> DataFrame:

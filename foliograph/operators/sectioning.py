@@ -76,7 +76,7 @@ def inferred_sections(sectioned: DataFrame) -> DataFrame:
         cue.when(v.rlike(DEGREE) & (v.rlike(PLACE_OF_STUDY) | dated), "Education").when(v.rlike(DEGREE_FIRST) & (F.length(v) < 140) & no_sentence, "Education").when(dated & v.rlike(ROLE) & (F.length(v) < 260), "Experience")
         .when(v.rlike(ROLE) & (F.length(v) < 180) & ((i > 4) | dated) & v.rlike(r"(?i)\s(?:at|@)\s|\s[–—]\s") & no_sentence, "Experience").when(v.rlike(CERTIFIED), "Certifications")
     )
-    tools = (F.length(v) - F.length(F.replace(v, F.lit(","), F.lit(""))) >= 2) & (F.size(F.regexp_extract_all(v, F.lit(rf"{_BEGIN}({TOOLS[4:]})(?:[^\p{{L}}\p{{N}}_]|$)"), 1)) >= 2)
+    tools = (F.length(v) - F.length(F.replace(v, F.lit(","), F.lit(""))) >= 2) & (F.size(F.regexp_extract_all(v, F.lit(rf"(?i){_BEGIN}({TOOLS[4:]})(?:[^\p{{L}}\p{{N}}_]|$)"), 1)) >= 2)
     overview = ~((i <= 4) & v.rlike(CONTACT_ROW)) & (F.length(v) > 45) & (v.rlike(OVERVIEW) | v.rlike(r"[.!?]$"))
     before = Window.partitionBy(KEY).orderBy("line_index").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(KEY).orderBy("line_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -256,6 +256,42 @@ def g5_edges_of_records(s, d):
     return graph.edges_of_records(records.canonical(_blocks(s, d)), table(s, d, "raw_text")).groupBy("source_type", "relationship", "target_type").agg(F.count("*").alias("edges"), F.count_distinct("upload_id").alias("uploads"))
 
 
+_SCOPES = {"WORKED_AT": r"^\$\.work_history\[\d+\]$", "HAS_ROLE": r"^\$\.work_history\[\d+\]$", "HAS_EMPLOYMENT_PERIOD": r"^\$\.work_history\[\d+\]\.roles\[\d+\]$", "COMPLETED_DEGREE": r"^\$\.education\[\d+\]$", "AWARDED_BY": r"^\$\.education\[\d+\]$", "HAS_SKILL": r"^\$\.skills$"}
+_WRONG = " or ".join(f"relationship = '{r}' and not regexp_matches(scope_path, '{x}')" for r, x in sorted(_SCOPES.items()))
+
+
+@query(
+    f"""with v as (select upload_id, edge_id, unnest(list_filter([case when scope_path is null or evidence_path is null then 'no source context' end, case when {_WRONG} then 'scope of another kind' end,
+      case when not (evidence_path = scope_path or starts_with(evidence_path, scope_path || '.') or starts_with(evidence_path, scope_path || '[')) then 'evidence outside of the scope' end], lambda x: x is not null)) as rule from relationships) select * from v"""
+)
+def x3_scope_violations(s, d):
+    return graph.scope_violations(_edges(s, d))
+
+
+@query(
+    """with r as (select upload_id, target as id, source = 'person' as of_person from relationships where relationship = 'HAS_ROLE' union all select upload_id, source, null from relationships where relationship = 'HAS_EMPLOYMENT_PERIOD'),
+    g as (select upload_id, id, count(*) filter (of_person) as person, count(*) filter (not of_person) as employer from r where id is not null group by all),
+    f as (select distinct upload_id, source as id from relationships where relationship = 'HAS_ROLE' and source <> 'person')
+    select upload_id, id, 'role of no person' as rule from g where person = 0 union all select upload_id, id, 'role of no employer' from g where employer = 0
+    union all select upload_id, id, 'employer of no person' from f where not exists (select 1 from relationships w where w.relationship = 'WORKED_AT' and w.upload_id = f.upload_id and w.target = f.id)"""
+)
+def x3_unconnected(s, d):
+    return graph.unconnected(_edges(s, d))
+
+
+@query()
+def x3_typed_violations(s, d):
+    """Edges of canonical records that are no allowed triple of types: none of ours."""
+    return graph.typed_violations(graph.edges_of_records(records.canonical(_blocks(s, d)), table(s, d, "raw_text")))
+
+
+@query()
+def g13_evidence_of_edges(s, d):
+    """The text of the canonical record that each edge's evidence path leads to."""
+    leaves = cut(graph.evidence_text(records.canonical(_blocks(s, d))))
+    return graph.at_path(leaves, _edges(s, d).where("evidence_path is not null").select("upload_id", F.col("evidence_path").alias("path")).distinct())
+
+
 _ALLOWED = ", ".join(f"'{r}'" for r in sorted({r for _, r, _ in graph.TRIPLES}))
 _WORDS = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
 _BLANK = lambda c: f"coalesce(trim({c}, ' ') = '', true)"
@@ -388,6 +424,12 @@ def v8_silhouette(s, d):
     return vectors.silhouette(table(s, d, "embeddings"))
 
 
+@query(_S["v8_silhouette"])
+def v8_silhouette_all(s, d):
+    """The same by its earlier name."""
+    return v8_silhouette(s, d)
+
+
 @query("select vec_id, embedding[1:8] as preview from embeddings")
 def v10_previews(s, d):
     return table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("preview"))
@@ -464,6 +506,26 @@ def q6_evaluator_weights(s, d):
     return vectors.log_tf_idf(table(s, d, "canonical_resume"), "period_id", "source_text").withColumn("weight", F.round("weight", 9))
 
 
+@query(
+    rf"""with p as (select upload_id as doc, v.k as kind, {_KEY('v.v')} as norm, count(*) as p from (select upload_id, unnest([{{'k': 'company', 'v': entities.company}}, {{'k': 'designation', 'v': entities.designation}}]) as v from semantic_blocks) where v.v is not null group by all),
+    t as (select upload_id as doc, v.k as kind, {_KEY('v.v')} as norm, count(*) as t from (select upload_id, unnest([{{'k': 'company', 'v': company}}, {{'k': 'designation', 'v': designation}}]) as v from canonical_resume) where v.v is not null group by all),
+    b as (select coalesce(p.doc, t.doc) as doc, coalesce(p.kind, t.kind) as kind, coalesce(p, 0) as p, coalesce(t, 0) as t from p full join t on p.doc = t.doc and p.kind = t.kind and p.norm = t.norm),
+    c as (select doc, kind, sum(t) as reference_items, sum(least(p, t)) as true_positive, case when sum(t) = 0 then 0 else sum(greatest(p - t, 0)) end as false_positive, sum(greatest(t - p, 0)) as false_negative from b group by all)
+    select *, round(true_positive / nullif(true_positive + false_positive, 0), 4) as precision, round(true_positive / nullif(true_positive + false_negative, 0), 4) as recall, round(2 * true_positive / nullif(2 * true_positive + false_positive + false_negative, 0), 4) as f1,
+    case when true_positive + false_negative = 0 then 'no_reference_items' else 'scored' end as state from c"""
+)
+def q12_entity_scores(s, d):
+    """Employers and titles of blocks against those of the canonical table, list by list."""
+    lists = lambda f, e: f.select(F.col("upload_id").alias("doc"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), e(k).alias("value")) for k in ("company", "designation")])).alias("v")).select("doc", "v.kind", "v.value")
+    return evaluation.entity_scores(lists(_blocks(s, d), lambda k: F.col(f"entities.{k}")), lists(table(s, d, "canonical_resume"), F.col))
+
+
+@query("select case when raw_text is null or trim(raw_text, ' ') = '' then 'failed' else 'read' end as status, source as method, count(*) as documents from raw_text group by rollup (case when raw_text is null or trim(raw_text, ' ') = '' then 'failed' else 'read' end, source)")
+def q15_corpus_rollup(s, d):
+    status = F.when(F.col("raw_text").isNull() | (F.trim("raw_text") == ""), "failed").otherwise("read")
+    return evaluation.corpus_rollup(table(s, d, "raw_text").select(status.alias("status"), F.col("source").alias("method")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q)
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import headings, text
-from ..operators import classify, lines, mentions, rows, sectioning
+from ..operators import audit, classify, context, groups, json_records, lines, mentions, records, rows, sectioning
 from ..sources.tables import table
 from .lineage import cut
-from .queries_text import _MENTIONS, _SECTIONS, _SENTENCES, _blanks_only, _sections
+from .queries_text import _BLOCKS, _MENTIONS, _RELATIONS, _SECTIONS, _SENTENCES, _blanks_only, _sections
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY = lines.KEY
@@ -92,10 +92,10 @@ k1 as (select *, {_without_period('t')} as b, {_is('t', _C.PERIOD)} as dated, tr
 k2 as (select *, {_without_period('l')} as lb, {_without_period('r')} as rb, {_without_period('before_at')} as ab, {_without_period('tail_text')} as tb from k1),
 k3 as materialized (select *, {_role_title('b')} as role, {_name_like('t')} as name, {_title_like('b')} as titled, {_role_title('lb')} as l_role, {_role_title('rb')} as r_role from k2),
 k4 as (select *, coalesce(lead(titled) over o or lead(dated) over o or lead({_is('t', _C.NEXT_LABEL)}) over o, false) as leads_on, {_is('t', _C.DASH)} and not {_is('l', _C.FIELD_LABEL)} as dash,
-  {_is('t', _C.COMPANY_LABEL)} and not {_is(_part('t', _C.COMPANY_LABEL), _C.FIELD_LABEL)} as labelled, {_is('t', _C.AT)} and {_title_like('ab')} as at from k3 window o as (partition by upload_id order by line_index)),
+  {_is('t', _C.COMPANY_LABEL)} and not {_is(_part('t', _C.COMPANY_LABEL), _C.FIELD_LABEL)} as labelled, {_is('t', _C.AT)} and {_title_like('ab')} as is_at from k3 window o as (partition by upload_id order by line_index)),
 k5 as (select *, nullif(case when {_is('t', _C.WORKED_AT)} then (case when {_is('w', _AS)} then {_part('w', _AS, 1)} else w end) when {_is('t', _C.WORKING_AS)} then {_plain(_part('t', _C.WORKING_AS, 2))} when labelled then trim({_part('t', _C.COMPANY_LABEL)})
-  when at then {_plain(_part('t', _C.AT, 2))} when dash and l_role and not r_role and {_name_like('r')} then rb when dash and r_role and not l_role and {_name_like('l')} then lb end, '') as h_company,
-  nullif(case when {_is('t', _C.WORKED_AT)} then {_part('w', _AS, 2)} when {_is('t', _C.WORKING_AS)} then trim({_part('t', _C.WORKING_AS, 1)}) when at and not labelled then before_at when dash and l_role and not r_role and {_name_like('r')} then {_bare('lb')}
+  when is_at then {_plain(_part('t', _C.AT, 2))} when dash and l_role and not r_role and {_name_like('r')} then rb when dash and r_role and not l_role and {_name_like('l')} then lb end, '') as h_company,
+  nullif(case when {_is('t', _C.WORKED_AT)} then {_part('w', _AS, 2)} when {_is('t', _C.WORKING_AS)} then trim({_part('t', _C.WORKING_AS, 1)}) when is_at and not labelled then before_at when dash and l_role and not r_role and {_name_like('r')} then {_bare('lb')}
   when dash and r_role and not l_role and {_name_like('l')} then {_bare('rb')} end, '') as h_title0 from k4),
 k6 as (select *, case when h_company is not null and not labelled then h_title0 end as h_title from k5),
 k7 as (select *, case when t = '' or is_page_number or {_is('t', _C.ARTIFACT)} or (regexp_matches(regexp_replace(t, '[|\s]', '', 'g'), '^[A-Za-z]{{6,}}$') and length(regexp_replace(t, '[|\s]', '', 'g')) % 2 = 0
@@ -111,7 +111,7 @@ classified as (select upload_id, line_index, case when rule = 'artifact' then 'P
   when rule = 'place' then 'LOCATION' when rule = 'achievement' then 'ACHIEVEMENT' when rule = 'company_role' then 'COMPANY_ROLE' when rule in ('company', 'company_date', 'company_next') then 'COMPANY' when rule = 'role' then 'ROLE'
   when rule in ('date_role', 'date', 'single_date') then 'DATE_RANGE' when rule = 'subheading' then 'SUBSECTION_HEADING' else {_TYPES} end as block_type,
   case when rule in ('company_role', 'company') then h_company when rule = 'company_date' then rest when rule = 'company_next' then t end as company,
-  case when rule = 'company_role' then h_title when rule = 'role' then nullif({_without_period(f"coalesce(nullif({_part('t', _C.TITLE_LABEL)}, ''), t)")}, '') when rule = 'date_role' then trailing when rule = 'client_role' then {_part('t', _C.CLIENT_ROLE, 2)} end as designation,
+  case when rule = 'company_role' then h_title when rule = 'role' then nullif({_without_period(f"coalesce(nullif({_part('t', _C.TITLE_LABEL)}, ''), t)")}, '') when rule = 'date_role' then tail_text when rule = 'client_role' then {_part('t', _C.CLIENT_ROLE, 2)} end as designation,
   case when dated and rule in ('company_role', 'company', 'role', 'date_role', 'company_date', 'date') then {_part('t', _C.PERIOD, 1)} when rule = 'single_date' then t end as start_date,
   case when dated and rule in ('company_role', 'company', 'role', 'date_role', 'company_date', 'date') then {_part('t', _C.PERIOD, 2)} end as end_date from k7)"""
 
@@ -142,7 +142,7 @@ def sec_p2_inline_headings(s, d):
 
 
 _P = sectioning
-_TOOLS = rf"len(regexp_extract_all(v, {_s(_P._BEGIN + '(' + _P.TOOLS[4:] + ')' + r'(?:[^\p{L}\p{N}_]|$)')}, 1)) >= 2"
+_TOOLS = rf"len(regexp_extract_all(v, {_s('(?i)' + _P._BEGIN + '(' + _P.TOOLS[4:] + ')' + r'(?:[^\p{L}\p{N}_]|$)')}, 1)) >= 2"
 _CUE = " ".join(f"when {_is('v', p)} then '{x}'" for p, x in _P.CUED)
 
 
@@ -245,6 +245,155 @@ def e9_sections_of_mentions(s, d):
     return mentions.sections_of(mentions.all_mentions(sentences), sentences)
 
 
+_GUARDED = f"""{_BLOCKS}, sb as (select upload_id, unnest(sentence_indices) as sentence_index, block from blocks), {_RELATIONS[len(_SENTENCES) + 2 :]},
+best as (select upload_id, source, target, relationship, confidence, sentence_index from rel where source <> target qualify row_number() over (partition by upload_id, source, target, relationship order by confidence desc, sentence_index) = 1),
+guarded as (select b.*, s.section, sb.block from best b join sentences s using (upload_id, sentence_index) join sb using (upload_id, sentence_index) where (source = 'PERSON' or contains(lower(sentence), lower(source))) and (target = 'PERSON' or contains(lower(sentence), lower(target)))
+  qualify row_number() over (partition by b.upload_id, source, target, relationship, block order by sentence_index) = 1)"""
+
+
+def _guarded(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sentences = cut(lines.split_sentences(_sections(s, d)))
+    found = cut(mentions.all_mentions(sentences))
+    blocks = context.blocks(context.joins(context.sentence_lines(sentences))).select(KEY, F.explode("sentence_indices").alias("sentence_index"), "block")
+    return sentences, found, mentions.guarded(mentions.relations(found, sentences), sentences, blocks)
+
+
+@query(f"with {_GUARDED} select upload_id, source, target, relationship, confidence, sentence_index, section, block from guarded")
+def l2_guarded_relations(s, d):
+    return _guarded(s, d)[2]
+
+
+@query(
+    f"with {_GUARDED}, n as (select *, row_number() over (partition by upload_id order by sentence_index, source, target, relationship, block) - 1 as number from guarded) select upload_id, block, section, list('r' || number order by number) as relations from n group by upload_id, block, section"
+)
+def l11_relations_of_blocks(s, d):
+    return mentions.fanned_out(_guarded(s, d)[2])
+
+
+@query(
+    f"with {_GUARDED}, m as (select distinct upload_id, sentence_index, 1 as m from mentions), k as (select distinct upload_id, sentence_index, 1 as r from guarded) select s.upload_id, count(*) as sentences, count(m) as with_mentions, count(r) as with_relations from sentences s left join m using (upload_id, sentence_index) left join k using (upload_id, sentence_index) group by s.upload_id"
+)
+def l12_relation_coverage(s, d):
+    return mentions.relation_coverage(*_guarded(s, d))
+
+
+@query(f"with {_BLOCKS} select upload_id, unnest(line_indices) as line_index, block, section_id, section from blocks")
+def a6_audit_from_blocks(s, d):
+    sentences = lines.split_sentences(_sections(s, d))
+    return audit.from_blocks(context.blocks(context.joins(context.sentence_lines(sentences))))
+
+
+# ---- records of other sections ----
+_KEYS = "case lower(trim(section)) " + " ".join(f"when '{k}' then '{v}'" for k, v in sorted(records.CANONICAL_KEYS.items())) + " else 'source_sections' end"
+_REAL = "select * from semantic_blocks where text is not null and trim(text) <> '' and coalesce(block_type, 'UNKNOWN') not in ('PAGE_ARTIFACT', 'SECTION_HEADING')"
+
+
+@query(f"select upload_id, block_id, {_KEYS} as key from ({_REAL})")
+def r1_destinations(s, d):
+    return groups.destinations(_blocks(s, d))
+
+
+@query(
+    rf"""with r as (select *, sum(case when block_type in ('COMPANY', 'COMPANY_ROLE') then 1 else 0 end) over (partition by upload_id order by reading_order, block_id rows unbounded preceding) as jobs from semantic_blocks where section = 'Experience' and text is not null and coalesce(block_type, 'UNKNOWN') not in ('PAGE_ARTIFACT', 'SECTION_HEADING'))
+    select upload_id, block_id, text from r where jobs = 0 and length(text) > 45 and ({_is('text', groups.OVERVIEW)} or regexp_matches(text, '[.!?]\s*$'))"""
+)
+def r4_preambles(s, d):
+    return groups.preamble(_blocks(s, d))
+
+
+@query(
+    rf"""with r as (select *, {_BARE_LINE.replace('line', 'text')} as t from ({_REAL}) where section is not null),
+    g as (select *, coalesce(regexp_matches(t, '^\p{{Ll}}') and lag(t) over (partition by upload_id, section order by reading_order, block_id) is not null and not coalesce(is_bullet, false), false) as goes_on, count(*) over (partition by upload_id, section) as n from r),
+    i as (select *, sum(cast(not goes_on as int)) over (partition by upload_id, section order by reading_order, block_id rows unbounded preceding) as item from g), one as (select upload_id, section, unnest(x) as text, generate_subscripts(x, 1) as item from (select upload_id, section, string_split_regex(t, '\s*,\s*') as x from g where n = 1))
+    select upload_id, section, item, string_agg(t, ' ' order by reading_order, block_id) as text from i where n > 1 group by all union all select upload_id, section, item, text from one where text <> ''"""
+)
+def r12_simple_items(s, d):
+    return groups.simple_items(_blocks(s, d))
+
+
+@query()
+def r7_projects(s, d):
+    return groups.projects(_blocks(s, d))
+
+
+@query()
+def r8_project_dates(s, d):
+    return groups.project_dates(_blocks(s, d))
+
+
+@query()
+def r9_certifications(s, d):
+    return groups.certifications(_blocks(s, d))
+
+
+@query()
+def r10_strengths(s, d):
+    return groups.strengths(_blocks(s, d))
+
+
+@query()
+def r11_domains(s, d):
+    return groups.domains(_blocks(s, d))
+
+
+@query()
+def r15_employer_context(s, d):
+    return groups.employer_context(_blocks(s, d))
+
+
+@query()
+def c4_detached_education(s, d):
+    return rows.detached_education(_blocks(s, d))
+
+
+@query()
+def c5_implicit_employment(s, d):
+    classed = classify.classified(_sections(s, d).withColumn("was", F.col("section")).withColumn("section", F.lit("Experience")))
+    return rows.implicit_employment(classed.withColumn("employer", F.col("block_type").isin("COMPANY", "COMPANY_ROLE")))
+
+
+@query()
+def c12_timeline_lanes(s, d):
+    return rows.timeline_lanes(_blocks(s, d))
+
+
+# ---- records as JSON ----
+def _as_json(s: SparkSession, d: str) -> DataFrame:
+    """Each upload's rows as a JSON object by section name, employments as objects: what an outside extractor would hand over."""
+    jobs = records.employments(_blocks(s, d)).select(KEY, F.struct(F.col("company").alias("employer"), "location", F.transform("roles", lambda r: F.struct(r["designation"].alias("title"), F.concat_ws(" - ", r["start_date"], r["end_date"]).alias("dates"), r["duties"].alias("duties"))).alias("roles")).alias("job"))
+    jobs = jobs.groupBy(KEY).agg(F.sort_array(F.collect_list("job")).alias("Experience"))
+    other = _blocks(s, d).where("text is not null and section is not null and section <> 'Experience' and coalesce(block_type, '') not in ('PAGE_ARTIFACT', 'SECTION_HEADING')")
+    other = other.groupBy(KEY, "section").agg(F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "block_id", "text"))), lambda x: x["text"]).alias("lines"))
+    other = other.groupBy(KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", "lines")))).alias("sections"))
+    sections, experience = F.to_json("sections"), F.to_json(F.struct("Experience"))
+    return other.join(jobs, KEY, "full").select(KEY, F.coalesce(json_records.merged_json(sections, experience), F.lit("{}")).alias("json"))
+
+
+@query()
+def k11_canonical_documents(s, d):
+    """Each upload's record in canonical form."""
+    return _as_json(s, d).select(KEY, json_records.canonical_json(F.col("json")).alias("record"))
+
+
+@query()
+def x2_canonical_violations(s, d):
+    """The rules that each upload's canonical record breaks."""
+    checked = k11_canonical_documents(s, d).select(KEY, F.explode(json_records.wrong_in_json(F.col("record"))).alias("v"))
+    return checked.select(KEY, "v.rule", "v.at")
+
+
+@query(f"select upload_id, key, list(text order by reading_order, block_id) as lines from (select *, {_KEYS} as key from ({_REAL})) group by upload_id, key")
+def k6_section_keyed(s, d):
+    """The source lines of each part of the canonical record."""
+    placed = _blocks(s, d).join(groups.destinations(_blocks(s, d)).select("block_id", "key"), "block_id")
+    return placed.groupBy(KEY, "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "block_id", "text"))), lambda x: x["text"]).alias("lines"))
+
+
+@query("select distinct section, array_to_string(list_transform(string_split(lower(trim(regexp_replace(section, '[_\\-]+', ' ', 'g'))), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as label from semantic_blocks where section is not null")
+def n10_labels(s, d):
+    return _blocks(s, d).where("section is not null").select("section", text.label_case(F.col("section")).alias("label")).distinct()
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q)
 

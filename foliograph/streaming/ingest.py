@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..plans import lineage
+
 LATE = "7 days"
 
 
@@ -35,5 +37,6 @@ def run_batches(rows: DataFrame, pipeline: Callable[[DataFrame], dict[str, DataF
     def batch(frame: DataFrame, batch_id: int) -> None:
         for name, artifact in pipeline(frame).items():
             artifact.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        lineage.release(frame.sparkSession)
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
