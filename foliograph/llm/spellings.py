@@ -94,7 +94,7 @@ def _near(a: DataFrame, b: DataFrame, with_line: bool) -> DataFrame:
 def _last(to: DataFrame) -> DataFrame:
     """core, line, to: a misspelling may be of a misspelling, so steps are followed to their end, twice as far in each round.
 
-    Each step leads to a more widespread spelling, so there is an end.
+    Each step leads to a more widespread name, so there is an end.
     """
     while True:
         further = to.select(F.col("core").alias("to"), "line", F.col("to").alias("further"))
@@ -113,9 +113,11 @@ def organisations(spelled: DataFrame) -> DataFrame:
     # misspellings: to the most widespread reading within one edit of each word, and on to that one's
     named = readings.where("line <> ''")
     rank = lambda x: F.struct(F.col(f"spellings_{x}"), F.col(f"n_{x}"), F.col(f"core_{x}"))
-    better = _near(named, named, True).where(rank("b") > rank("a"))
-    to = better.groupBy("core_a", "line_a", "first_a").agg(F.max_by("core_b", rank("b")).alias("to"))
-    to = cut(to.groupBy(F.col("core_a").alias("core"), F.col("line_a").alias("line")).agg(F.max_by("to", "first_a").alias("to")))
+    # how widespread a name proper is counts over all its readings: so steps between names always lead upwards and can't go round
+    of_name = Window.partitionBy("core", "line")
+    ranked = cut(named.withColumns({"spellings": F.sum("spellings").over(of_name), "n": F.sum("n").over(of_name)}))
+    better = _near(ranked, ranked, True).where(rank("b") > rank("a"))
+    to = cut(better.groupBy(F.col("core_a").alias("core"), F.col("line_a").alias("line")).agg(F.max_by("core_b", rank("b")).alias("to")))
     usual = named.join(_last(to).hint("merge"), ["core", "line"], "left").withColumn("usual", F.coalesce("to", "core")).drop("to")
 
     # first names, initials and nicknames before one name of one line

@@ -372,3 +372,8 @@ def test_halves_that_a_large_corpus_holds(spark):
     words = spark.createDataFrame([("department", 9000, 0), ("depart", 900, 5), ("ment", 12, 9), ("data", 900, 5), ("base", 100, 5), ("database", 900, 5)], "word string, clean bigint, scanned bigint")
     rare = spark.createDataFrame([(1, "ment", "depart", None), (2, "base", "data", None)], "block_id bigint, word string, before string, after string")
     assert {tuple(r) for r in scans.split_words(rare, words).collect()} == {(1, "depart", "ment")}
+
+
+def test_names_that_lead_to_each_other_by_first_names_end(spark):
+    rows = [("Bill Borvanel Media", 9), ("Hana Borvanel Media", 1), ("Bill Borvanal Media", 1), ("Hana Borvanal Media", 9), ("Hana Borvanal Media Ltd", 1), ("Bill Borvanel Media Ltd", 1)]
+    assert spellings.organisations(spark.createDataFrame(rows, "name string, n int")).count() == len(rows)
