@@ -12,12 +12,16 @@ import hashlib
 import hmac
 import math
 import re
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
 from operator import itemgetter
 from typing import NamedTuple
 
+import numpy as np
+
 from . import forms, names
 
 KINDS = ("email", "id_number", "phone", "address", "name")
@@ -111,23 +115,55 @@ def bare(word: str) -> str:
     return word.lower().replace("ß", "ss").replace("’", "'").translate(names._ACCENTS)
 
 
+def word_hash(word: str) -> int:
+    """64 bits of hash of a word, signed."""
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+class Words:
+    """A set of words by their sorted hashes: 8 bytes a word, so that as many fit as a corpus has."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = array("q", np.sort(np.asarray(hashes, dtype=np.int64)).tobytes())
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __contains__(self, word: str) -> bool:
+        h = word_hash(word)
+        k = bisect_left(self.hashes, h)
+        return k < len(self.hashes) and self.hashes[k] == h
+
+
 class FamilyNames:
     """How much a word looks like a family name: log odds of its beginnings and endings, learned from labelled words."""
 
-    def __init__(self, family: list[str], other: list[str], given: list[str] = ()):
-        self.known_other = {bare(w) for w in other}
+    def __init__(self, family: list[str], other: list[str], given: Iterable[str] = ()):
+        self.known_other: set[str] | Words = {bare(w) for w in other}
         self.given = names.GIVEN | set(names.NICKNAMES) | {bare(w) for w in given}
         yes, no = Counter(), Counter()
         family_set = {bare(w) for w in family if len(w) > 2}
         others = {w for w in self.known_other if len(w) > 2} - family_set
         for words, counts in ((family_set, yes), (others, no)):
             for w in words:
-                counts.update(self._parts(w))
-        n, m = len(family_set) + 1, len(others) + 1
-        self.weight = {p: math.log((yes[p] + 0.3) / n) - math.log((no[p] + 0.3) / m) for p in {*yes, *no}}
-        self.family = family_set
+                counts.update(self.parts(w))
+        self._weigh(((p, yes[p], no[p]) for p in {*yes, *no}), len(family_set), len(others))
+        self.family: set[str] | Words = family_set
         self.facts: dict[str, tuple] = {}
 
+    def _weigh(self, counts: Iterable[tuple[str, int, int]], families: int, others: int) -> None:
+        n, m = families + 1, others + 1
+        # the same is added to both shares: else each part would count the more for a family name, the more others there are
+        self.weight = {p: math.log((yes + 0.3) / n) - math.log(no / m + 0.3 / n) for p, yes, no in counts}
+
+    @classmethod
+    def counted(cls, family: Words, other: Words, counts: Iterable[tuple[str, int, int]], given: Iterable[str]) -> FamilyNames:
+        """The model of words that were counted elsewhere: ``counts`` has of each beginning and ending how many family names and how many others have it."""
+        model = cls([], [], given)
+        model.family, model.known_other = family, other
+        model._weigh(counts, len(family), len(other))
+        return model
+
     def fact(self, word: str) -> tuple[bool, str, bool, float, bool]:
         """(capital, plain form, given name, score, may begin or be a name) of a word, kept as words recur."""
         if len(self.facts) >= 500_000:  # only memory: what is forgotten is worked out again
@@ -147,7 +183,7 @@ class FamilyNames:
         return self.__dict__ | {"facts": {}}
 
     @staticmethod
-    def _parts(w: str) -> list[str]:
+    def parts(w: str) -> list[str]:
         return [f"^{w[:k]}" for k in (2, 3, 4) if len(w) > k] + [f"{w[-k:]}$" for k in (3, 4, 5) if len(w) > k]
 
     def score(self, word: str) -> float:
@@ -162,7 +198,7 @@ class FamilyNames:
             return KNOWN
         if w in self.known_other:
             return -KNOWN
-        hits = [self.weight.get(p, -0.3) for p in self._parts(w)]
+        hits = [self.weight.get(p, -0.3) for p in self.parts(w)]
         return sum(hits)
 
 

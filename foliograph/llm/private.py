@@ -1,10 +1,10 @@
 """Problem 6: personal information in free text, found and replaced.
 
 Texts are searched where they lie, without a shuffle (``personal.entities``).
-The model for family names is fitted on a bounded sample of labelled words:
-at most ``SAMPLE`` candidates' names, as many values of each other column, and
-``SAMPLE_LINES`` lines for common words; the sample is chosen by a hash, so it
-is the same whatever the partitioning.
+The model for family names is fitted on all candidates' names, all values of
+the columns with other words and the words of all lines, which are counted in
+Spark: the driver gets 8 bytes of each labelled word and the counts of
+beginnings and endings.
 
 For replacing, each distinct piece gets a keyed surrogate of its kind, format,
 gender and script, so mentions of one person or number agree everywhere.
@@ -19,7 +19,6 @@ from __future__ import annotations
 import os
 import re
 import secrets
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,12 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.lineage import cut
-from . import forms, personal
+from . import forms, personal, same_looks
 
-SAMPLE = 5_000
-SAMPLE_LINES = 20_000
-#: A word in so many of the sampled lines is a common word and no family name, unless a candidate has it.
+#: A word in so many lines at least, and in SHARE of all, is a common word and no family name, unless a candidate has it.
 COMMON = 8
+#: What so many distinct candidates' names begin with at least, and SHARE of all, is a given name.
+GIVEN = 2
+SHARE = 0.0004
 KEY_SETTING = "spark.foliograph.surrogate.key"
 #: After so many rounds of making colliding surrogates anew it is an error that some are left.
 ROUNDS = 50
@@ -48,29 +48,74 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", forms.canonical(text) or "")
 
 
-def learned_names(raw_text: DataFrame, blocks: DataFrame) -> personal.FamilyNames:
-    """The model for family names, fitted on a bounded sample."""
+def _bare_words(text: str) -> list[str]:
+    return list({personal.bare(w) for w in _words(text)})
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words_of(texts: pd.Series) -> pd.Series:
+    return pd.Series([_bare_words(t) for t in texts], dtype=object)
+
 
-    def sample(frame: DataFrame, column: str) -> list[str]:
-        values = frame.select(F.col(column).alias("v")).where("v is not null").distinct()
-        return [r[0] for r in values.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()]
+#: For Java: what _words finds in stable text after ``personal.bare``.
+JAVA_WORD = r"[\p{L}\p{Nl}\p{No}]++(?:['-][\p{L}\p{Nl}\p{No}]++)*+"
 
-    family: list[str] = []
-    given: Counter[str] = Counter()
-    for name in sample(raw_text, "candidate_name"):
+
+def words_of_lines(lines: DataFrame) -> DataFrame:
+    """word of each line (text), once for each line that has it, in its one form without case and accents.
+
+    Stable texts never leave the JVM, but for those with a capital that small letters write with two characters.
+    """
+    # in small letters first, as that is quicker and leaves the ends of words where they are
+    plain = F.translate(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss")), "’" + "".join(map(chr, personal.names._ACCENTS)), "'" + "".join(personal.names._ACCENTS.values()))
+    rough = same_looks.unstable(F.col("text")) | F.col("text").contains("İ")
+    of_stable = lines.where(~rough).select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(JAVA_WORD), F.lit(0)))).alias("word"))
+    return of_stable.unionByName(lines.where(rough).select(F.explode(_words_of("text")).alias("word")))
+
+
+@F.pandas_udf(T.StructType([T.StructField("first", T.StringType()), T.StructField("last", T.StringType()), T.StructField("long", T.BooleanType())]))
+def _person(named: pd.Series) -> pd.DataFrame:
+    """Given and family name of each name of two words, and whether the family name has more than two letters; nulls for others."""
+    out = []
+    for name in named:
         parts = _words(name)
         if len(parts) == 2 and min(map(len, parts)) > 1:
             first, last = parts[::-1] if "," in name else parts
-            family.append(last)
-            given[personal.bare(first)] += 1
-    lines = blocks.where("text is not null").orderBy(F.xxhash64("block_id"), "block_id").select("text").limit(SAMPLE_LINES).collect()
-    in_lines = Counter(w for r in lines for w in {personal.bare(x) for x in _words(r[0])})
-    families = {personal.bare(f) for f in family}
-    firsts = {g for g, n in given.items() if n > 1}
-    other = {personal.bare(w) for c in ("company", "designation", "location") for v in sample(blocks, f"entities.{c}") for w in _words(v)}
-    other |= {w for w, n in in_lines.items() if n >= COMMON}
-    known_given = personal.names.GIVEN | set(personal.names.NICKNAMES) | firsts
-    return personal.FamilyNames(family, sorted(w for w in other if len(w) > 2 and w not in families and w not in known_given), sorted(firsts))
+            out.append((personal.bare(first), personal.bare(last), len(last) > 2))
+        else:
+            out.append((None, None, None))
+    return pd.DataFrame(out, columns=["first", "last", "long"])
+
+
+@F.pandas_udf(T.StructType([T.StructField("hash", T.LongType()), T.StructField("parts", T.ArrayType(T.StringType()))]))
+def _features(words: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"hash": [personal.word_hash(w) for w in words], "parts": [personal.FamilyNames.parts(w) for w in words]})
+
+
+def labelled_words(raw_text: DataFrame, blocks: DataFrame) -> tuple[DataFrame, list[str]]:
+    """word, family of each distinct word with a label, and the given names of candidates, from all rows: family names are those of candidates, others are words of firms, titles and places and common words."""
+    named = raw_text.where("candidate_name is not null").select("candidate_name").distinct()
+    people = named.select(_person("candidate_name").alias("p")).select("p.*").where("last is not null")
+    firsts = people.groupBy("first").agg(F.count("*").alias("n"))
+    given = sorted(r["first"] for r in firsts.where(F.col("n") >= max(GIVEN, SHARE * people.count())).collect())
+
+    families = people.groupBy(F.col("last").alias("word")).agg(F.max("long").alias("long"))
+    lines = blocks.where("text is not null").select("text")
+    common = words_of_lines(lines).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(COMMON, SHARE * lines.count()))
+    values = blocks.select(F.explode(F.array("entities.company", "entities.designation", "entities.location")).alias("v")).where("v is not null").distinct()
+    other = values.select(F.explode(_words_of("v")).alias("word")).union(common.select("word")).distinct()
+    other = other.where((F.length("word") > 2) & ~F.col("word").isin(sorted(personal.names.GIVEN | set(personal.names.NICKNAMES) | set(given))))
+    other = other.join(families, "word", "left_anti")
+    return families.where("long").select("word", F.lit(True).alias("family")).unionByName(other.select("word", F.lit(False).alias("family"))), given
+
+
+def learned_names(raw_text: DataFrame, blocks: DataFrame) -> personal.FamilyNames:
+    """The model for family names, fitted on all rows of both tables."""
+    words, given = labelled_words(raw_text, blocks)
+    labelled = cut(words.select("family", _features("word").alias("f")).select("family", "f.*"))
+    hashes = {family: personal.Words(labelled.where(F.col("family") == family).select("hash").toArrow()["hash"].to_numpy()) for family in (True, False)}
+    parts = labelled.select("family", F.explode("parts").alias("part")).groupBy("part").agg(F.count_if("family").alias("yes"), F.count_if(~F.col("family")).alias("no"))
+    return personal.FamilyNames.counted(hashes[True], hashes[False], map(tuple, parts.collect()), given)
 
 
 def _pieces_of(model: personal.FamilyNames):

@@ -173,6 +173,43 @@ def test_personal_information(text, kinds):
         assert forms.canonical(text[f.start : f.end]) == f.value
 
 
+def _letters(n: int) -> str:
+    return "".join(chr(97 + n // 26**k % 26) for k in range(4))
+
+
+def test_family_names_are_learned_from_all_rows(spark):
+    people = [f"Gy{_letters(i % 40)} Fö{_letters(i)}" if i % 3 else f"Fö{_letters(i)}, Gy{_letters(i % 40)}" for i in range(6_000)] + ["Solo", "Three Word Name", "Seldom Föaaaa", None]
+    firms = [f"Co{_letters(i)} Works" for i in range(6_000)]
+    lines = [f"Written {i}{' Elevenfold' if i % 2_000 == 7 and i < 22_000 else ''}{' Ninefold' if i % 2_500 == 9 and i < 22_500 else ''}" for i in range(25_000)]
+    raw = spark.createDataFrame([(i, n, None) for i, n in enumerate(people)], "upload_id bigint, candidate_name string, raw_text string")
+    blocks = spark.createDataFrame([(i, t, (firms[i] if i < 6_000 else None, None, None)) for i, t in enumerate(lines)] + [(-1, None, None)], "block_id bigint, text string, entities struct<company:string,designation:string,location:string>")
+    model = private.learned_names(raw, blocks)
+    # 11 lines of 25,000 are enough for a common word, 9 are not
+    whole = personal.FamilyNames([f"Fö{_letters(i)}" for i in range(6_000)], [f.split()[0] for f in firms] + ["works", "written", "elevenfold"], [f"Gy{_letters(i)}" for i in range(40)])
+    assert len(model.family) == len(whole.family) == 6_000 and all(w in model.family for w in whole.family)
+    assert len(model.known_other) == 6_003 and all(w in model.known_other for w in whole.known_other) and "ninefold" not in model.known_other
+    assert model.given == whole.given and "seldom" not in model.given
+    assert model.weight == pytest.approx(whole.weight)
+    assert [f.value for f in personal.entities(f"asked Gy{_letters(3)} Fö{_letters(5_999)} and Co{_letters(5_999)}", model)] == [f"Gy{_letters(3)} Fö{_letters(5_999)}"]
+
+
+def test_weights_do_not_drift_with_the_number_of_other_words():
+    few, many = (personal.FamilyNames(["Tarnlund", "Vesmark"], [f"Comp{_letters(i)}ware" for i in range(n)]) for n in (40, 4_000))
+    assert few.weight["^tar"] == many.weight["^tar"] > 0 > few.weight["^com"] == pytest.approx(many.weight["^com"], abs=0.1)
+
+
+def test_words_of_lines_are_those_of_their_one_form(spark):
+    rng = random.Random(6)
+    alphabet = "aBß’'-_ 1½²ªÉİıĿŁ\u0301\u200bＡΑЕσΣ中Ⅷ①😀.\x07\n"
+    texts = ["Straße O’Neil-Østby d'Évry self- made x_y 2nd", "İzmir ISTANBUL", "ＦＵＬＬ full", "ΣΑΣ", ""] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(14))) for _ in range(1_500)]
+    counted = {r.word: r["count"] for r in private.words_of_lines(spark.createDataFrame([(t,) for t in texts], "text string")).groupBy("word").count().collect()}
+    expected: dict[str, int] = {}
+    for t in texts:
+        for w in {personal.bare(x) for x in private._words(t)}:
+            expected[w] = expected.get(w, 0) + 1
+    assert counted == expected
+
+
 def test_surrogates_are_distinct_and_consistent(spark):
     texts = [("t", i, f"Call Dora Veslund or Hana Norsted, tel 555-555-0{i:03d}, mail d{i}@mail.example") for i in range(200)] + [("t", 999, None), ("t", 998, "nothing here"), ("t", 997, "Norsted, Hana")]
     frame = spark.createDataFrame(texts, "src string, id bigint, text string")
